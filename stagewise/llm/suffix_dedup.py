@@ -81,6 +81,25 @@ class _Runs:
         self.key = least[starts]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of int64 values plane by plane, so that their zero bytes compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _pack(low: np.ndarray, high: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
+    raw = _planes(low) + _planes(high - low) + _planes(size) + text.tobytes()
+    return np.array([len(low), len(raw)]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpack(message: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(low, high, size) as rows of one array, and the runs' bytes."""
+    count, total = np.frombuffer(message, np.int64, 2).tolist()
+    raw = np.frombuffer(pa.decompress(memoryview(message)[16:], decompressed_size=total, codec="zstd"), np.uint8)
+    head = np.ascontiguousarray(raw[: 24 * count].reshape(3, 8, count).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    head[1] += head[0]
+    return head, raw[24 * count :]
+
+
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     ends = np.cumsum(sizes)
     at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -126,9 +145,10 @@ def _suffix_order(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.n
     """Suffixes sorted by their first `length` bytes at least (prefix doubling), and each suffix's place."""
     n = len(text)
     key = _eights(text)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     s = key[order]
     border = np.r_[True, s[1:] != s[:-1]]
+    del key, s
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(border, np.arange(n), 0))
     have = 8
@@ -161,6 +181,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not (8 < m <= 24 and m < length):
         raise ValueError("m must lie in 9..24 and below length")
     blocks, n = in_blocks(docs, id_col, text_col)
+    fine = 4 * n  # buckets of the second round: an index takes some 100 times its text
 
     def new_powers():
         return Powers(0xD6E8FEB86659FD93)
@@ -207,24 +228,22 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
         h, k, size, begin = h[first], k[first], size[first], begin[first]
-        cuts = bucket_slices(k, n)
+        cuts = bucket_slices(k, fine)
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
         payload = []
         for b in full:
             p = slice(cuts[b], cuts[b + 1])
-            payload.append(np.int64(cuts[b + 1] - cuts[b]).tobytes() + h[p].tobytes() + low[p].tobytes() + high[p].tobytes() + size[p].astype(np.int64).tobytes() + _gather(text, begin[p], size[p]).tobytes())
+            payload.append(_pack(low[p], high[p], size[p], _gather(text, begin[p], size[p])))
         return sent_table(full.tolist(), key[0].as_py(), payload)
 
     def answer(key, table):
-        blocks, heads, texts = table["block"].to_pylist(), [], []
-        for x in table["payload"].to_pylist():
-            count = int(np.frombuffer(x, np.int64, 1)[0])
-            heads.append(np.frombuffer(x, np.int64, 4 * count, 8).reshape(4, count))
-            texts.append(np.frombuffer(x, np.uint8, offset=8 + 32 * count))
+        blocks = table["block"].to_pylist()
+        heads, texts = zip(*(_unpack(x) for x in table["payload"].to_pylist()), strict=True)
         owner = np.repeat(np.arange(len(heads)), [x.shape[1] for x in heads])
-        h, low, high, size = np.concatenate(heads, axis=1)
-        h, text = h.view(np.uint64), np.concatenate(texts)
+        low, high, size = np.concatenate(heads, axis=1)
+        text = np.concatenate(texts)
         begin = np.cumsum(size) - size
+        h = runs_hash(text.astype(np.uint64), begin, begin + size, new_powers())
         order = np.argsort(h, kind="stable")
         s = h[order]
         first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
@@ -233,6 +252,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         least = np.minimum.reduceat(low[order], first)
         size_d, begin_d = size[order[first]], begin[order[first]]
         joined = _gather(text, begin_d, size_d)
+        del text, heads, texts
         at = np.cumsum(size_d) - size_d
         string = np.repeat(np.arange(len(size_d)), size_d)
         place, group = equal_groups(joined, size_d[string] - (np.arange(len(joined)) - at[string]), length)
@@ -254,7 +274,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         runs_first = np.searchsorted(s_run, np.arange(len(windows) + 1))
         who, payload = [], []
         for i, block in enumerate(blocks):
-            mine = np.flatnonzero(owner == i) if len(blocks) < 3 else np.arange(*np.searchsorted(owner, [i, i + 1]))
+            mine = np.arange(*np.searchsorted(owner, [i, i + 1]))
             e = entry[mine]
             count = runs_first[e + 1] - runs_first[e]
             which = np.arange(count.sum()) + np.repeat(runs_first[e] - (np.cumsum(count) - count), count)
