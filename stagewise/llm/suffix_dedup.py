@@ -78,7 +78,7 @@ class _Runs:
         limit = offsets[self.row] + sizes[self.row]
         self.start = starts
         self.end = np.minimum(np.r_[starts[1:], n], limit)
-        self.key = least[starts]
+        self.key = mix64(least[starts])  # minima crowd the low end; buckets need an even spread
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -115,14 +115,19 @@ def equal_groups(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.nd
     if n == 0:
         return none
     suffixes, rank = _suffix_order(text, left, length)
-    # the intervals of all 8-byte strings; suffixes too short for one belong to none
-    active = np.flatnonzero(left[suffixes] >= 8)
-    first = _eights(text)[suffixes[active]]
-    border = np.flatnonzero(np.r_[True, first[1:] != first[:-1]]) if len(active) else active
+    # the intervals of all 16-byte strings; suffixes too short for one belong to none
+    start = min(16, length)
+    active = np.flatnonzero(left[suffixes] >= start)
+    eights, at = _eights(text), suffixes[active]
+    first, second = eights[at] >> _U(8 * max(0, 8 - start)), eights[np.minimum(at + 8, n - 1)] >> _U(min(63, 8 * (16 - start)))
+    if start <= 8:
+        second = np.zeros(len(at), _U)
+    del eights, at
+    border = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(active) else active
     size = np.diff(np.r_[border, len(active)])
     group, keep = np.repeat(active[border], size), np.repeat(size > 1, size)
     active, group = active[keep], group[keep]
-    for _ in range(8, length):
+    for _ in range(start, length):
         # backward step: the suffix one byte to the left, if it stands in the same string
         before = suffixes[active] - 1
         keep = before >= 0
