@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from stagewise.llm import quality_rules
+from stagewise.llm.quality_rules import op9_quality_rules
+from stagewise.llm.simhash import op5_simhash
 from stagewise.llm.substring_dedup import op1_substring_dedup
 from stagewise.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_simhash": op5_simhash,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_quality_rules": quality_rules.ORACLE,
+}
