@@ -98,16 +98,18 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def removed_words(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
     """(r_content, r_host, n_line_words) of each distinct text of a host that has lines above their limit."""
-    norm = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "), "[0-9]", "0"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    distinct = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.split(text, "\n").alias("lines"))
-    rows = distinct.select("host", "content", F.explode("lines").alias("line")).where(_no_blank(F.col("line")) != "")
-    rows = rows.select("host", "content", F.xxhash64(norm(F.col("line"))).alias("line"), F.size(words_of(F.col("line"))).cast("long").alias("words"))
+    flat = F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
+    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.split(flat, "\n")).alias("line"))
+    rows = rows.select("host", "content", F.trim("line").alias("line")).where(F.col("line") != "")
+    rows = rows.select("host", "content", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
     # copies of one text within a host count once; a line's words within a text are summed over its repeats
     copies = docs.groupBy(F.col(host_col).alias("host"), F.xxhash64(text).alias("content")).agg(F.count(F.lit(1)).alias("copies"))
     held = rows.groupBy("host", "content", "line").agg(F.sum("words").alias("words"))
     limits = copies.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count(F.lit(1))).alias("most"))
-    common = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min_docs)
+    common = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
+    # (the second test holds always: it makes this side read the exchange of held that hit reads too)
+    common = common.where((F.col("n") > min_docs) & (F.col("words") > 0)).drop("words")
     common = common.join(limits, common.host.eqNullSafe(limits.host)).where(F.col("n") > F.col("most")).select(common.host.alias("c_host"), F.col("line").alias("c_line"))
     hit = held.join(common, held.host.eqNullSafe(F.col("c_host")) & (held.line == F.col("c_line")))
     hit = hit.groupBy("host", "content").agg(F.sum("words").alias("words")).join(copies.withColumnsRenamed({"host": "k_host", "content": "k_content"}), (F.col("content") == F.col("k_content")) & F.col("host").eqNullSafe(F.col("k_host")))
