@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from stagewise.llm import quality_rules
+from stagewise.llm import mixing, quality_rules
+from stagewise.llm.mixing import op8_mixing
 from stagewise.llm.quality_rules import op9_quality_rules
+from stagewise.llm.secret_scan import op3_secret_scan
 from stagewise.llm.simhash import op5_simhash
 from stagewise.llm.substring_dedup import op1_substring_dedup
 from stagewise.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_secret_scan": op3_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op8_mixing": mixing.ORACLE,
     "op9_quality_rules": quality_rules.ORACLE,
 }
