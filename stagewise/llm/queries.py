@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from stagewise.llm import mixing, quality_rules
+from stagewise.llm.html_text import op10_html_text
 from stagewise.llm.mixing import op8_mixing
+from stagewise.llm.packing import op7_packing
 from stagewise.llm.quality_rules import op9_quality_rules
 from stagewise.llm.secret_scan import op3_secret_scan
 from stagewise.llm.simhash import op5_simhash
@@ -15,8 +17,10 @@ QUERIES = {
     "op3_secret_scan": op3_secret_scan,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op7_packing": op7_packing,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLE_SQL: dict[str, str] = {
