@@ -66,8 +66,10 @@ def _no_blank(x: Column) -> Column:
     return F.translate(x, _BLANK, "")
 
 
-def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.1, least_kept: float = 0.5) -> DataFrame:
-    """One row for each input row: the input columns, the base counts, base_failed, n_line_words (removed by the line rule) and kept."""
+def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.1, least_kept: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, the base counts, base_failed, n_line_words (removed by the line rule), kept, the hashes of
+    its lines above the limit (r_lines, null if none), and the columns to carry as c_<name>."""
+    held = [F.col(c).alias(f"c_{c}") for c in carry]
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = words_of(F.col(text_col))
     lines = F.filter(F.split(text, "\n"), lambda x: _no_blank(x) != "")
@@ -79,12 +81,13 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.length(_no_blank(text)).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         lines.alias("lines"),
+        *held,
     )
     base = base.select(
         "doc_id", "content", "host", "word_chars", "n_symbols",
         F.size("w").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        n_repeat_words(F.col("w")).alias("n_repeat_words"),
+        n_repeat_words(F.col("w")).alias("n_repeat_words"), *(f"c_{c}" for c in carry),
     )
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     removed = removed_words(docs, text_col, host_col, min_docs, share)
@@ -92,15 +95,27 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     depleted = F.coalesce(F.col("n_line_words"), F.lit(0)) > (1 - least_kept) * F.col("n_words")
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce("n_line_words", F.lit(0).cast("long")).alias("n_line_words"),
+        (~F.col("base_failed") & ~depleted).alias("kept"), F.coalesce("n_line_words", F.lit(0).cast("long")).alias("n_line_words"), "r_lines", *(f"c_{c}" for c in carry),
     )
 
 
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **options) -> DataFrame:
+    """The documents that are kept, without their lines above the limit; docs' columns."""
+    out = line_rules(docs, id_col, text_col, host_col, carry=tuple(docs.columns), **options).where("kept")
+    text, common = F.col(f"c_{text_col}"), F.col("r_lines")
+    fresh = F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(common, F.xxhash64(F.trim(_normal(x)))))
+    clean = F.when(common.isNull(), text).otherwise(F.array_join(fresh, "\n"))
+    return out.select(*((clean if c == text_col else F.col(f"c_{c}")).alias(c) for c in docs.columns))
+
+
+def _normal(text: Column) -> Column:
+    return F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
+
+
 def removed_words(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
-    """(r_content, r_host, n_line_words) of each distinct text of a host that has lines above their limit."""
+    """(r_content, r_host, n_line_words, r_lines) of each distinct text of a host that has lines above their limit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    flat = F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
-    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.split(flat, "\n")).alias("line"))
+    rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.split(_normal(text), "\n")).alias("line"))
     rows = rows.select("host", "content", F.trim("line").alias("line")).where(F.col("line") != "")
     rows = rows.select("host", "content", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
     # copies of one text within a host count once; a line's words within a text are summed over its repeats
@@ -112,12 +127,12 @@ def removed_words(docs: DataFrame, text_col: str, host_col: str, min_docs: int,
     common = common.where((F.col("n") > min_docs) & (F.col("words") > 0)).drop("words")
     common = common.join(limits, common.host.eqNullSafe(limits.host)).where(F.col("n") > F.col("most")).select(common.host.alias("c_host"), F.col("line").alias("c_line"))
     hit = held.join(common, held.host.eqNullSafe(F.col("c_host")) & (held.line == F.col("c_line")))
-    hit = hit.groupBy("host", "content").agg(F.sum("words").alias("words")).join(copies.withColumnsRenamed({"host": "k_host", "content": "k_content"}), (F.col("content") == F.col("k_content")) & F.col("host").eqNullSafe(F.col("k_host")))
-    return hit.select(F.col("content").alias("r_content"), F.col("host").alias("r_host"), F.expr("words div copies").alias("n_line_words"))
+    hit = hit.groupBy("host", "content").agg(F.sum("words").alias("words"), F.collect_set("line").alias("r_lines")).join(copies.withColumnsRenamed({"host": "k_host", "content": "k_content"}), (F.col("content") == F.col("k_content")) & F.col("host").eqNullSafe(F.col("k_host")))
+    return hit.select(F.col("content").alias("r_content"), F.col("host").alias("r_host"), F.expr("words div copies").alias("n_line_words"), "r_lines")
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("r_lines")
 
 
 _W = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

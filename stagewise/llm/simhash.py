@@ -26,41 +26,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import cut
+from stagewise.llm.common import cut, mix64
 from stagewise.llm.components import connected_components
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """Majority bits of XXH64 (seed 42) of the shingles of words, as an unsigned integer."""
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned integer."""
+    count = np.zeros(64, np.int64)
+    for k in range(0, len(h), 1 << 14):
+        part = h[k : k + (1 << 14)]
+        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of words, repeats included; one of all words if there are fewer."""
     import xxhash
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
     if n == 1:
-        return digest(joined, 42)
+        return np.array([digest(joined, 42)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.r_[0, ends[: n - 1] + 1].tolist()
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
-    count = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 14):
-        part = h[k : k + (1 << 14)]
-        count += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * count > n, bitorder="little").view(np.uint64)[0])
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), np.uint64, n)
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, fp, fp2): 64 majority bits of the hashes, and 64 of other hashes of the same shingles, as signed longs."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(1).cast(pa.binary())
-            fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.zeros((2, len(b)), np.uint64)
+            for i, x in enumerate(b.column(1).cast(pa.binary())):
+                h = shingle_hashes(x.as_py() or b"", shingle)
+                fps[:, i] = majority(h), majority(mix64(h))
+            yield pa.record_batch([b.column(0), *(pa.array(f.view(np.int64)) for f in fps)], names=["doc_id", "fp", "fp2"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, fp2 long")
 
 
 def group_bits(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -123,22 +129,45 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def forest(fps: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a spanning forest of the links (distance at most t) among distinct fingerprints."""
-    left, a, b = fps.copy(), [], []
+class Near:
+    """The link test: at most t of the 64 bits differ and, if given, at most both_t of all 128."""
+
+    def __init__(self, t: int, both_t: int | None) -> None:
+        self.t, self.both_t = t, both_t
+
+    def __call__(self, a, a2, b, b2) -> np.ndarray:
+        d = np.bitwise_count(a ^ b)
+        near = d <= self.t
+        if self.both_t is not None and near.any():
+            near &= d + np.bitwise_count(a2 ^ b2) <= self.both_t
+        return near
+
+
+def forest(fps: np.ndarray, fps2: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of distinct fingerprints that connect what the links among them connect: all links if they are few, else a spanning forest."""
+    a, b, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for k in range(0, len(fps), 256):
+        i, j = np.nonzero(near(fps[k : k + 256, None], fps2[k : k + 256, None], fps[None, k:], fps2[None, k:]))
+        i, j = i[j > i], j[j > i]
+        a.append(fps[k + i])
+        b.append(fps[k + j])
+        n += len(i)
+        if n > 8 * len(fps):
+            break
+    else:
+        return np.concatenate(a), np.concatenate(b)
+    left, left2, a, b = fps, fps2, [], []
     while len(left):
-        queue, left = [left[0]], left[1:]
+        queue, left, left2 = [(left[0], left2[0])], left[1:], left2[1:]
         while queue and len(left):
-            x = queue.pop()
-            near = np.bitwise_count(left ^ x) <= t
-            if near.any():
-                found = left[near]
-                left = left[~near]
-                a.append(np.full(len(found), x))
-                b.append(found)
-                queue.extend(found)
-    none = np.zeros(0, np.uint64)
-    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
+            x, x2 = queue.pop()
+            at = near(left, left2, x, x2)
+            if at.any():
+                a.append(np.full(at.sum(), x))
+                b.append(left[at])
+                queue.extend(zip(left[at], left2[at], strict=True))
+                left, left2 = left[~at], left2[~at]
+    return np.concatenate(a), np.concatenate(b)
 
 
 def whole_groups(batches, n_keys: int):
@@ -160,8 +189,9 @@ def whole_groups(batches, n_keys: int):
         yield held
 
 
-def links(fps: DataFrame, t: int, plan_sample: int = 2048, limit: int = 8192) -> DataFrame:
-    """(a, b): links that connect what the pairs of distinct fps at a distance of at most t connect."""
+def links(fps: DataFrame, t: int, both_t: int | None = None, plan_sample: int = 2048, limit: int = 8192) -> DataFrame:
+    """(a, b): links that connect what the near pairs of the distinct fp connect. fps: (fp, fp2)."""
+    near = Near(t, both_t)
     got = fps.orderBy(F.xxhash64("fp"), "fp").limit(plan_sample).collect()
     sample = np.array([r["fp"] for r in got], np.int64).view(np.uint64)
     parts = plan(sample if len(sample) else np.zeros(1, np.uint64), max(fps.count(), 1), t)
@@ -172,16 +202,16 @@ def links(fps: DataFrame, t: int, plan_sample: int = 2048, limit: int = 8192) ->
             # of two values that differ in one bit, the one without it probes for the other
             flips = ", ".join("(-9223372036854775807L - 1)" if b == 63 else f"{1 << b}L" for b in bits)
             probes.append(f"transform(filter(array({flips}), b -> fp & b = 0), b -> named_struct('part', {k}, 'val', (fp & {_signed(mask)}L) | b))")
-    rows = fps.select("fp", F.expr(f"inline(concat({', '.join(probes)}))"))
+    rows = fps.select("fp", "fp2", F.expr(f"inline(concat({', '.join(probes)}))"))
     large = rows.groupBy("part", "val").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
     rows = rows.join(large, ["part", "val"], "left").withColumn("chunks", F.expr(f"cast(coalesce(ceil(n / {limit}), 1) as int)"))
     rows = rows.withColumn("own", F.expr("cast(pmod(xxhash64(fp), chunks) as int)")).withColumn("other", F.expr("explode(sequence(0, chunks - 1))"))
-    rows = rows.select("part", "val", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "fp")
+    rows = rows.select("part", "val", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "fp", "fp2")
     rows = rows.repartition("part", "val", "c", "d").sortWithinPartitions("part", "val", "c", "d", "fp")
 
     def run(batches):
-        for part, val, c, d, fp in whole_groups(batches, 4):
-            fp = fp.view(np.uint64)
+        for part, val, c, d, fp, fp2 in whole_groups(batches, 4):
+            fp, fp2 = fp.view(np.uint64), fp2.view(np.uint64)
             new = np.r_[True, (part[1:] != part[:-1]) | (val[1:] != val[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])]
             first = np.flatnonzero(new)
             size = np.diff(np.r_[first, len(fp)])
@@ -191,11 +221,12 @@ def links(fps: DataFrame, t: int, plan_sample: int = 2048, limit: int = 8192) ->
             end = np.repeat(first + size, size)
             for step in range(1, int(size[size <= 24].max(initial=1))):
                 at = np.flatnonzero(small[:-step] & (np.arange(len(fp) - step) + step < end[:-step]))
-                at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= t]
+                at = at[near(fp[at], fp2[at], fp[at + step], fp2[at + step]) & (fp[at] != fp[at + step])]
                 a.append(fp[at])
                 b.append(fp[at + step])
             for k in np.flatnonzero(size > 24):
-                x, y = forest(np.unique(fp[first[k] : first[k] + size[k]]), t)
+                f, at = np.unique(fp[first[k] : first[k] + size[k]], return_index=True)
+                x, y = forest(f, fp2[first[k] + at], near)
                 a.append(x)
                 b.append(y)
             if a:
@@ -204,11 +235,14 @@ def links(fps: DataFrame, t: int, plan_sample: int = 2048, limit: int = 8192) ->
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
-    """doc_id, fp (long), component_id (smallest doc_id reachable over links, the own one included)."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_distance: int = 4, both_distance: int | None = None) -> DataFrame:
+    """doc_id, fp (long), component_id (smallest doc_id reachable over links, the own one included).
+
+    both_distance asks in addition for at most so many differing bits in the fingerprint and
+    a second, independent one together: a wide max_distance alone lets unrelated texts pass."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    of = connected_components(links(distinct.select("fp"), max_distance))
+    distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("fp2").alias("fp2")))
+    of = connected_components(links(distinct.select("fp", "fp2"), max_distance, both_distance))
     joined = distinct.join(of, distinct.fp == of.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
     ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
     return fps.join(joined.join(ids, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

@@ -71,7 +71,7 @@ def test_large_groups_and_chunks(spark):
                 x ^= 1 << b
             fps.add(x)
     fps = sorted(fps)
-    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), 0) for x in fps], "fp long, fp2 long")
     got = {(e.a, e.b) for e in S.links(df, 4, plan_sample=64, limit=20).collect()}
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     assert all(((a ^ b) & (2**64 - 1)).bit_count() <= 4 for a, b in got)
