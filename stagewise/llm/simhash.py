@@ -8,8 +8,8 @@ threshold): probes made plus candidate pairs to verify. The estimate uses a boun
 sample of fingerprints (`plan_sample`); the plan only changes the cost, never the result.
 Every candidate is verified on all bits.
 
-Within a probe bucket the verified links are emitted as a spanning forest, so a group of
-k near copies gives fewer than k rows; buckets over `limit` fingerprints are dealt out
+The verified links that meet in a task are reduced to stars around the smallest member, so
+a group of k near copies gives fewer than k rows; buckets over `limit` fingerprints are dealt out
 over pairs of chunks. Only distinct fingerprints take part.
 
 Defined cases: null and empty texts have the fingerprint zero and are linked like any
@@ -144,7 +144,7 @@ class Near:
 
 
 def forest(fps: np.ndarray, fps2: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of distinct fingerprints that connect what the links among them connect: all links if they are few, else a spanning forest."""
+    """Links among distinct fingerprints that connect what all their links connect: all if they are few, else a spanning forest."""
     a, b, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
     for k in range(0, len(fps), 256):
         i, j = np.nonzero(near(fps[k : k + 256, None], fps2[k : k + 256, None], fps[None, k:], fps2[None, k:]))
@@ -152,7 +152,7 @@ def forest(fps: np.ndarray, fps2: np.ndarray, near: Near) -> tuple[np.ndarray, n
         a.append(fps[k + i])
         b.append(fps[k + j])
         n += len(i)
-        if n > 8 * len(fps):
+        if n > 2 * len(fps):
             break
     else:
         return np.concatenate(a), np.concatenate(b)
@@ -170,6 +170,23 @@ def forest(fps: np.ndarray, fps2: np.ndarray, near: Near) -> tuple[np.ndarray, n
     return np.concatenate(a), np.concatenate(b)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One row (smallest member, member) for each other member of the components of the links a - b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        if (low == label[x]).all() and (low == label[y]).all():
+            break
+        np.minimum.at(label, label[x], low)
+        np.minimum.at(label, label[y], low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
+
+
 def whole_groups(batches, n_keys: int):
     """Columns of consecutive batches sorted by their first n_keys columns, so cut that no group is split."""
     held = None
@@ -190,7 +207,7 @@ def whole_groups(batches, n_keys: int):
 
 
 def links(fps: DataFrame, t: int, both_t: int | None = None, plan_sample: int = 2048, limit: int = 8192) -> DataFrame:
-    """(a, b): links that connect what the near pairs of the distinct fp connect. fps: (fp, fp2)."""
+    """(a, b): rows that connect what the near pairs of the distinct fp connect, by way of the smallest of those that meet in a task. fps: (fp, fp2)."""
     near = Near(t, both_t)
     got = fps.orderBy(F.xxhash64("fp"), "fp").limit(plan_sample).collect()
     sample = np.array([r["fp"] for r in got], np.int64).view(np.uint64)
@@ -230,7 +247,8 @@ def links(fps: DataFrame, t: int, both_t: int | None = None, plan_sample: int =
                 a.append(x)
                 b.append(y)
             if a:
-                yield pa.record_batch([pa.array(np.concatenate(a).view(np.int64)), pa.array(np.concatenate(b).view(np.int64))], names=["a", "b"])
+                x, y = stars(np.concatenate(a), np.concatenate(b))
+                yield pa.record_batch([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
