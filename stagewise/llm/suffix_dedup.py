@@ -169,7 +169,7 @@ def _suffix_order(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.n
         inside = places + have < n
         nxt[inside] = rank[places[inside] + have]
         r = rank[places]
-        sub = np.lexsort((nxt, r))
+        sub = np.argsort(r * (n + 1) + nxt)
         places, r, nxt = places[sub], r[sub], nxt[sub]
         order[at] = places
         new = np.r_[True, (r[1:] != r[:-1]) | (nxt[1:] != nxt[:-1])]
