@@ -10,8 +10,8 @@ crossover injects the well-filled bins of one parent whole into the other, drops
 other's bins that use pieces already placed, and puts the displaced pieces back largest
 first, each into the fullest bin that holds it. After an epoch each island's best
 chromosome migrates to the next island. The best of all islands decides; bins of it that
-stay below `keep_fill` are dissolved, and their pieces from all shards form the problem
-of the next round, until one shard is left.
+stay below `keep_fill` are dissolved, and their pieces from all shards are dealt out and
+packed once more.
 
 Defined cases: null and empty texts are the end mark alone; equal and null ids are
 separate documents; an empty table packs to nothing; other columns stay out.
@@ -212,18 +212,19 @@ def _epoch(state: DataFrame, size: int, population: int, generations: int, epoch
     return state.select("shard", "island", "sizes", "best", "migrant").mapInArrow(run, "shard int, island int, sizes array<int>, best array<int>")
 
 
-def _best_bins(items: DataFrame, size: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
+def _best_bins(items: DataFrame, spread: bool, size: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
     """(shard, bins): the best chromosome of the islands of each shard."""
     none = F.array().cast("array<int>")
     shards = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.col("length").cast("int"))).alias("sizes"))
     state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", none.alias("best"), none.alias("migrant"))
-    state = state.repartition("shard", "island")
     for epoch in range(epochs):
-        out = cut(_epoch(state, size, population, generations, epoch))
-        moved = out.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("migrant"))
-        state = out.join(moved, ["shard", "island"])
+        if epoch:  # the elite of each island goes to the next one
+            ring = state.groupBy("shard").agg(F.first("sizes").alias("sizes"), F.array_sort(F.collect_list(F.struct("island", "best"))).alias("elite"))
+            state = ring.select("shard", "sizes", "elite", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+            state = state.select("shard", "island", "sizes", F.get("elite", F.col("island"))["best"].alias("best"), F.get("elite", F.pmod(F.col("island") - 1, F.lit(islands)))["best"].alias("migrant"))
+        state = _epoch(state.repartition("shard", "island") if spread else state, size, population, generations, epoch)
     bins = F.size(F.filter("best", lambda x: x == 0))
-    return out.groupBy("shard").agg(F.min_by("best", F.struct(bins, F.col("island"))).alias("bins"))
+    return state.groupBy("shard").agg(F.min_by("best", F.struct(bins, F.col("island"))).alias("bins"))
 
 
 def _placer(columns: list[str], size: int, keep_fill: float, level: int, last: bool):
@@ -244,7 +245,7 @@ def _placer(columns: list[str], size: int, keep_fill: float, level: int, last: b
     return place
 
 
-def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.995) -> DataFrame:
+def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.95) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     parts = cut(parts)
     columns = parts.columns
@@ -254,9 +255,10 @@ def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, isl
     while n:
         shards = math.ceil(n / shard_items)
         items = pool.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards)).cast("int"))
-        bins = _best_bins(items, size, islands, epochs, population, generations)
-        last = shards == 1
-
+        last = shards == 1 or level == 1
+        if shards == 1:  # at most shard_items rows
+            items = items.coalesce(1)
+        bins = _best_bins(items, shards > 1, size, islands, epochs, population, generations)
         # the dissolved bins' pieces are those that nothing was assigned to
         placed = cut(items.groupBy("shard").cogroup(bins.groupBy("shard")).applyInArrow(_placer(columns, size, keep_fill, level, last), f"{PIECE}, sequence_id long, offset long"))
         done.append(placed.where("sequence_id >= 0"))

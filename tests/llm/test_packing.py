@@ -54,6 +54,12 @@ def test_cases_and_rounds(spark):
     assert P.pack_pieces(P.pieces(empty)).count() == 0
 
 
+def test_pieces_that_do_not_pair(spark):
+    parts = spark.createDataFrame([(i, 0, 0, 600, i) for i in range(200)], P.PIECE)
+    got = P.pack_pieces(parts, shard_items=20).collect()
+    assert len({r.sequence_id for r in got}) == 200 and {r.offset for r in got} == {0}
+
+
 def test_crossover_keeps_all_pieces():
     r = random.Random(3)
     sizes = [r.randrange(1, 1024) for _ in range(300)]
