@@ -11,7 +11,8 @@ One suffix array of the corpus fits no machine, so text is dealt out first. Ever
 of `length` bytes is named by its minimizer, the smallest hash among its m-byte strings;
 equal windows have equal minimizers. Only runs of windows whose minimizer another
 document has too are sent on, to the bucket of that minimizer, which indexes the distinct
-runs (identical ones once, with the smallest id that holds them).
+runs (identical ones once, with the smallest id that holds them) of each minimizer that has
+several: a run that is its minimizer's only one can match no other.
 
 Defined cases: null text is empty; shorter documents lose nothing; matches never cross
 documents; of documents with the same id none is smaller; a null id counts as larger than
@@ -256,11 +257,15 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         entry[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(s)]))
         least = np.minimum.reduceat(low[order], first)
         size_d, begin_d = size[order[first]], begin[order[first]]
-        joined = _gather(text, begin_d, size_d)
-        del text, heads, texts
-        at = np.cumsum(size_d) - size_d
-        string = np.repeat(np.arange(len(size_d)), size_d)
-        place, group = equal_groups(joined, size_d[string] - (np.arange(len(joined)) - at[string]), length)
+        # a run can only share a window with another run of its minimizer: index those that have one
+        heads_ = _gather(text, begin_d, np.full(len(begin_d), length))
+        _, inverse, count = np.unique(minimizers(heads_, length, m)[::length], return_inverse=True, return_counts=True)
+        some = np.flatnonzero(count[inverse] > 1)
+        joined = _gather(text, begin_d[some], size_d[some])
+        del text, heads, texts, heads_
+        at = np.cumsum(size_d[some]) - size_d[some]
+        string = np.repeat(np.arange(len(some)), size_d[some])
+        place, group = equal_groups(joined, size_d[some][string] - (np.arange(len(joined)) - at[string]), length)
         # the smallest id of each window: of its own run, or of its group
         windows = size_d - length + 1
         w_at = np.cumsum(windows) - windows
@@ -269,8 +274,9 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             by = np.argsort(group, kind="stable")
             place, group = place[by], group[by]
             border = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            smallest = np.repeat(np.minimum.reduceat(least[string[place]], border), np.diff(np.r_[border, len(place)]))
-            best[w_at[string[place]] + place - at[string[place]]] = smallest
+            run = some[string[place]]
+            smallest = np.repeat(np.minimum.reduceat(least[run], border), np.diff(np.r_[border, len(place)]))
+            best[w_at[run] + place - at[string[place]]] = smallest
         # stretches of windows of one run with the same smallest id
         own = np.repeat(np.arange(len(windows)), windows)
         border = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (best[1:] != best[:-1])]) if len(own) else np.zeros(0, np.int64)
