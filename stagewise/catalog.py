@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stagewise.bridge import DUCK_CTE
+from stagewise.functions.sequence import sequence_features
 from stagewise.operators import censoring, labels, splits, status
 from stagewise.plans.model import Model
 from stagewise.plans.portable import DUAL, SHARED
@@ -77,3 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _core(f) for
 QUERIES |= {k: _portable(t) for k, t in SHARED.items()} | {k: _portable(t) for k, (t, _) in DUAL.items()}
 ORACLE_SQL: dict[str, str] = {k: DUCK_CTE + t for k, (_, t) in CORE.items()}
 ORACLE_SQL |= {k: _duck(t) for k, t in SHARED.items()} | {k: DUCK_CTE + t for k, (_, t) in DUAL.items()}
+
+
+#: Beyond SQL: tests hold these against plain Python.
+QUERIES["m17_sequence_features"] = _core(lambda m: sequence_features(m.table("documents").selectExpr("doc_id", "substr(upper(text), 1, 400) AS s"), "doc_id", "s"))

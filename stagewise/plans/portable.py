@@ -47,7 +47,7 @@ SHARED = {
     "w5_dense_id_by_size": "SELECT cluster30, n, CAST(row_number() OVER (ORDER BY n DESC, cluster30) - 1 AS INT) AS cluster_id FROM (SELECT cluster30, count(*) AS n FROM {targets} GROUP BY cluster30)",
     "t1_order_limit": "SELECT centre, count(*) AS n FROM {targets} GROUP BY centre ORDER BY n DESC, centre LIMIT 15",
     "t2_nulls_last": "SELECT target_id, max_stage FROM {target_stage} ORDER BY max_stage ASC NULLS LAST, target_id LIMIT 50",
-    "t3_relatives_top": """SELECT target_id, relative_id, rn FROM (SELECT a.target_id, b.target_id AS relative_id, row_number() OVER (PARTITION BY a.target_id
+    "t3_relatives_top": """SELECT target_id, relative_id, CAST(rn AS INT) AS rn FROM (SELECT a.target_id, b.target_id AS relative_id, row_number() OVER (PARTITION BY a.target_id
         ORDER BY b.censored, CASE WHEN b.max_stage < 4 THEN 1 ELSE 0 END, b.max_stage DESC NULLS LAST, b.target_id) AS rn
         FROM {splits} a JOIN {splits} b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) WHERE rn <= 6""",
     "t4_order_hits": "SELECT target_id, n_close_precedents, n_cluster_precedents FROM {cluster_features} ORDER BY n_close_precedents DESC, n_cluster_precedents DESC, target_id LIMIT 40",
@@ -69,7 +69,7 @@ SHARED = {
     "f17_blank_junk": "SELECT c_custkey, CASE WHEN lower(trim(c_mktsegment)) IN ('machinery', 'unknown', 'n/a') THEN NULL ELSE c_mktsegment END AS organism FROM {customer}",
     "f25_precedent_note": """SELECT target_id, CASE WHEN censored_reason IN ('both', 'bulk_closure') THEN 'censored by bulk closure' WHEN censored THEN 'censored by wind-down'
         WHEN max_stage >= 8 THEN 'deposited' ELSE concat('stopped at stage ', coalesce(CAST(max_stage AS STRING), 'unknown')) END AS note FROM {censoring}""",
-    "s7_text_normalise": "SELECT doc_id, length(trim(regexp_replace(text, '[ \t\n\r]+', ' '))) AS n FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '  ', ' ') AS text FROM {documents})",
+    "s7_text_normalise": "SELECT doc_id, CAST(length(trim(regexp_replace(text, '[ \t\n\r]+', ' '))) AS INT) AS n FROM (SELECT doc_id, replace(replace(text, chr(10), ' '), '  ', ' ') AS text FROM {documents})",
     "s8_md5_key": "SELECT doc_id, CASE WHEN text <> '' THEN md5(text) ELSE '' END AS seq_md5 FROM {documents}",
     "m14_brier": """SELECT l.gate, round(avg((c.cluster_base_rate - y) * (c.cluster_base_rate - y)), 6) AS brier FROM (SELECT *, CASE WHEN label = 'cleared' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y FROM {labels_l1} WHERE in_loss) l
         JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE c.cluster_base_rate IS NOT NULL GROUP BY l.gate""",
@@ -92,7 +92,7 @@ _N = " + ".join(_COUNT(a) for a in _STD)
 # Hydropathy of the 20 standard residues (Kyte and Doolittle).
 _KD = {"A": 1.8, "C": 2.5, "D": -3.5, "E": -3.5, "F": 2.8, "G": -0.4, "H": -3.2, "I": 4.5, "K": -3.9, "L": 3.8, "M": 1.9, "N": -3.5, "P": -1.6, "Q": -3.5, "R": -4.5, "S": -0.8, "T": -0.7, "V": 4.2, "W": -0.9, "Y": -1.3}
 _GRAVY = " + ".join(f"{_COUNT(a)} * CAST({v} AS DOUBLE)" for a, v in _KD.items())
-SHARED["m1_residue_counts"] = f"SELECT doc_id, {', '.join(f'{_COUNT(a)} AS n_{a.lower()}' for a in _STD)} FROM (SELECT doc_id, {_SEQ} AS s FROM {{documents}})"
+SHARED["m1_residue_counts"] = f"SELECT doc_id, {', '.join(f'CAST({_COUNT(a)} AS INT) AS n_{a.lower()}' for a in _STD)} FROM (SELECT doc_id, {_SEQ} AS s FROM {{documents}})"
 SHARED["m2_gravy"] = f"SELECT doc_id, CASE WHEN {_N} > 0 THEN round(({_GRAVY}) / ({_N}), 6) END AS gravy, CASE WHEN {_N} > 0 THEN round(CAST({_COUNT('F')} + {_COUNT('W')} + {_COUNT('Y')} AS DOUBLE) / ({_N}), 6) END AS aromatic FROM (SELECT doc_id, {_SEQ} AS s FROM {{documents}})"
 # pKa of charged groups (EMBOSS) with their sign; both ends of the chain count once.
 _PKA = {"K": (10.8, 1), "R": (12.5, 1), "H": (6.5, 1), "D": (3.9, -1), "E": (4.1, -1), "C": (8.5, -1), "Y": (10.1, -1)}
