@@ -54,6 +54,12 @@ SHARED = {
     "t6_sort_by_tokens": "SELECT conv_id, turn, CAST(floor(length(text) / CAST(4 AS DOUBLE)) AS INT) AS tokens FROM {conversations} ORDER BY tokens, conv_id, turn LIMIT 100",
     "u1_union_distinct": "SELECT chosen_id AS id FROM {labels_l3} WHERE hard UNION SELECT rejected_id AS id FROM {labels_l3} WHERE hard",
     "u2_oversample": "SELECT target_id, label FROM {labels_l1} UNION ALL SELECT target_id, label FROM {labels_l1} WHERE label = 'failed' UNION ALL SELECT target_id, label FROM {labels_l1} WHERE label = 'failed'",
+    "t5_top_counterfactuals": "SELECT target_id, gate, delta FROM (SELECT target_id, gate, delta, row_number() OVER (PARTITION BY target_id ORDER BY delta DESC, gate) AS rn FROM (SELECT target_id, gate, n_precedents - n_precedents_cleared AS delta FROM {context})) WHERE rn <= 6",
+    "d5_grouped_folds": "SELECT cluster_id, CAST((row_number() OVER (ORDER BY md5(CAST(cluster_id AS STRING)), cluster_id) - 1) % 5 AS INT) AS fold FROM (SELECT DISTINCT cluster_id FROM {splits} WHERE split_cluster = 'train')",
+    "g1_stratum_key": "SELECT target_id, concat(CAST(least(seq_len, 3) AS STRING), '|', organism, '|', centre) AS stratum FROM {targets}",
+    "g2_stratified_sample": """SELECT target_id, organism FROM (SELECT target_id, organism, row_number() OVER (PARTITION BY organism ORDER BY md5(CAST(target_id AS STRING)), target_id) AS rn,
+        count(*) OVER (PARTITION BY organism) AS n FROM {targets}) WHERE rn <= round(n * CAST(0.3 AS DOUBLE))""",
+    "g12_presence_test": "SELECT c_custkey, c_mktsegment IS NOT NULL AND lower(trim(c_mktsegment)) NOT IN ('', 'nan', 'none', '<na>') AS present FROM {customer}",
     "c8_by_reason": "SELECT censored_reason, max_stage, count(*) AS n FROM {censoring} GROUP BY censored_reason, max_stage",
     "d3_leave_centre_out": "SELECT centre, loco_eligible, count(*) AS n FROM {splits} GROUP BY centre, loco_eligible",
     "d2_temporal_split": "SELECT split_temporal, count(*) AS n, min(first_event) AS first_day, max(last_event) AS last_day FROM {splits} GROUP BY split_temporal",
@@ -188,4 +194,34 @@ DUAL = {
         "SELECT target_id, slice(transform(array_sort(collect_list(struct(-max_stage AS s, rel))), x -> x.rel), 1, 8) AS precedents FROM (SELECT a.target_id, b.target_id AS rel, coalesce(b.max_stage, -1) AS max_stage FROM {splits} a JOIN {splits} b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) GROUP BY target_id",
         "SELECT target_id, list(rel ORDER BY max_stage DESC, rel)[1:8] AS precedents FROM (SELECT a.target_id, b.target_id AS rel, coalesce(b.max_stage, -1) AS max_stage FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) GROUP BY target_id",
     ),
+    "u3_set_difference": (
+        "SELECT p_partkey, array_sort(array_except(split(p_name, ' '), split(lower(p_type), ' '))) AS left_words FROM {part}",
+        "SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split(lower(p_type), ' '), x)))) AS left_words FROM part",
+    ),
+    "f11_identifiers": (
+        "SELECT doc_id, size(array_distinct(regexp_extract_all(text, '([A-Z][a-z]+[0-9]+|[0-9][0-9][0-9][0-9]+)', 1))) AS n FROM {documents}",
+        "SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '([A-Z][a-z]+[0-9]+|[0-9][0-9][0-9][0-9]+)', 1))) AS INTEGER) AS n FROM documents",
+    ),
+    "f14_jaccard": (
+        "SELECT a.item_id AS a_id, b.item_id AS b_id, round(size(array_intersect(a.w, b.w)) / CAST(size(array_union(a.w, b.w)) AS DOUBLE), 6) AS jaccard FROM (SELECT item_id, array_distinct(split(lower(text), ' ')) AS w FROM {benchmark}) a JOIN (SELECT item_id, array_distinct(split(lower(text), ' ')) AS w FROM {benchmark}) b ON a.item_id + 1 = b.item_id",
+        "SELECT a.item_id AS a_id, b.item_id AS b_id, round(len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE), 6) AS jaccard FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark) a JOIN (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS w FROM benchmark) b ON a.item_id + 1 = b.item_id",
+    ),
+    "f15_nearest_in_corpus": (
+        """SELECT item_id, round(max(n / CAST(ka + kb - n AS DOUBLE)), 6) AS nearest FROM (SELECT a.item_id, a.k AS ka, b.k AS kb, b.item_id AS other, count(*) AS n FROM
+        (SELECT item_id, size(s) AS k, explode(s) AS g FROM (SELECT item_id, array_distinct(split(lower(text), ' ')) AS s FROM {benchmark})) a JOIN
+        (SELECT item_id, size(s) AS k, explode(s) AS g FROM (SELECT item_id, array_distinct(split(lower(text), ' ')) AS s FROM {benchmark})) b ON a.g = b.g AND a.item_id <> b.item_id GROUP BY 1, 2, 3, 4) GROUP BY item_id""",
+        """SELECT item_id, round(max(n / CAST(ka + kb - n AS DOUBLE)), 6) AS nearest FROM (SELECT a.item_id, a.k AS ka, b.k AS kb, b.item_id AS other, count(*) AS n FROM
+        (SELECT item_id, len(s) AS k, unnest(s) AS g FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS s FROM benchmark)) a JOIN
+        (SELECT item_id, len(s) AS k, unnest(s) AS g FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS s FROM benchmark)) b ON a.g = b.g AND a.item_id <> b.item_id GROUP BY 1, 2, 3, 4) GROUP BY item_id""",
+    ),
+    "f16_list_join": (
+        "SELECT centre, CASE WHEN size(w) = 1 THEN w[0] WHEN size(w) = 2 THEN concat(w[0], ' and ', w[1]) ELSE concat(array_join(slice(w, 1, size(w) - 1), ', '), ', and ', element_at(w, -1)) END AS said FROM (SELECT centre, array_sort(collect_set(organism)) AS w FROM {targets} GROUP BY centre)",
+        "SELECT centre, CASE WHEN len(w) = 1 THEN w[1] WHEN len(w) = 2 THEN concat(w[1], ' and ', w[2]) ELSE concat(array_to_string(w[:-2], ', '), ', and ', w[-1]) END AS said FROM (SELECT centre, list_sort(list_distinct(list(organism))) AS w FROM targets GROUP BY centre)",
+    ),
+    "j14_similarity_join": (
+        """SELECT q.vec_id AS query_id, t.vec_id AS target_id, round(aggregate(zip_with(q.embedding, t.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (a, x) -> a + x), 6) AS identity
+        FROM (SELECT * FROM {embeddings}) q JOIN {embeddings} t ON q.label = t.label AND q.vec_id <> t.vec_id WHERE aggregate(zip_with(q.embedding, t.embedding, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0.0D, (a, x) -> a + x) >= 0.3D""",
+        """SELECT q.vec_id AS query_id, t.vec_id AS target_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6) AS identity
+        FROM embeddings q JOIN embeddings t ON q.label = t.label AND q.vec_id <> t.vec_id WHERE list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) >= 0.3::DOUBLE""",
+    ),
 }
