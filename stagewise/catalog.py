@@ -6,10 +6,11 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stagewise.bridge import DUCK_CTE
 from stagewise.functions.sequence import sequence_features
-from stagewise.operators import censoring, labels, splits, status
+from stagewise.operators import censoring, labels, relatives, splits, status
 from stagewise.plans.model import Model
 from stagewise.plans.portable import DUAL, SHARED
 
@@ -47,6 +48,17 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
     "d2_splits": (lambda m: m.splits, "SELECT * FROM splits"),
     "d4_leak_check": (lambda m: splits.leaks(m.splits), "SELECT 'cluster_id' AS key, CAST(0 AS BIGINT) AS n_leaks UNION ALL SELECT 'seq_md5', 0"),
     "d4_drift": (lambda m: splits.drift(m.splits), "SELECT split_cluster, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM splits), 2) AS pct FROM splits GROUP BY split_cluster"),
+    "t3_relatives_top": (
+        lambda m: relatives.first_relatives(m.splits.withColumn("low", F.when(F.col("max_stage") < 4, 1).otherwise(0)), "cluster_id", "target_id", [F.col("censored"), F.col("low"), F.desc_nulls_last("max_stage"), F.col("target_id")], 6, []).select(F.col("query").alias("target_id"), F.col("target_id").alias("relative_id"), "rn"),
+        """SELECT target_id, relative_id, CAST(rn AS INTEGER) AS rn FROM (SELECT a.target_id, b.target_id AS relative_id, row_number() OVER (PARTITION BY a.target_id
+        ORDER BY b.censored, CASE WHEN b.max_stage < 4 THEN 1 ELSE 0 END, b.max_stage DESC NULLS LAST, b.target_id) AS rn
+        FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) WHERE rn <= 6""",
+    ),
+    "g3_precedent_list": (
+        lambda m: m.relatives.where("rn <= 8").groupBy(F.col("query_id").alias("target_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "target_id"))), lambda x: x["target_id"]).alias("precedents")),
+        "SELECT query_id AS target_id, list(target_id ORDER BY rn) AS precedents FROM relatives WHERE rn <= 8 GROUP BY query_id",
+    ),
+    "j12_retrieved_hits": (lambda m: m.relatives, "SELECT * FROM relatives"),
     "x1_pool": (lambda m: m.pooled.select("target_id", "cluster_id", "cluster70", "eligible"), "SELECT target_id, cluster_id, cluster70, eligible FROM pooled"),
     "x3_leave_one_out": (lambda m: m.context.select("target_id", "gate", "n_precedents", "n_precedents_cleared"), "SELECT target_id, gate, n_precedents, n_precedents_cleared FROM context"),
     "x4_base_rate": (lambda m: m.context, "SELECT * FROM context"),
@@ -81,4 +93,4 @@ ORACLE_SQL |= {k: _duck(t) for k, t in SHARED.items()} | {k: DUCK_CTE + t for k,
 
 
 #: Beyond SQL: tests hold these against plain Python.
-QUERIES["m17_sequence_features"] = _core(lambda m: sequence_features(m.table("documents").selectExpr("doc_id", "substr(upper(text), 1, 400) AS s"), "doc_id", "s"))
+QUERIES["m17_sequence_features"] = _core(lambda m: sequence_features(m.table("documents").selectExpr("doc_id", "upper(text) AS s"), "doc_id", "s"))

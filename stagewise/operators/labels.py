@@ -20,18 +20,32 @@ def outcomes(cens: DataFrame) -> DataFrame:
     return cens.where("NOT censored AND max_stage IS NOT NULL").select("target_id", "centre", "max_stage", out.alias("outcome"), top.alias("deposited"))
 
 
+def _first(m: DataFrame, by: list[str], k: int) -> DataFrame:
+    return m.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("target_id"))).where(F.col("_k") <= k).drop("_k")
+
+
 def pairs(cens: DataFrame, targets: DataFrame, cap: int) -> DataFrame:
-    """Pairs of a family whose stages differ by two or more; at most cap for each family, close relatives and wide gaps first."""
+    """Pairs of a family whose stages differ by two or more; at most cap for each family, close relatives and wide gaps first.
+
+    Targets of one close family and stage have the same partners, so a pair of the first cap holds only the
+    cap smallest ids of these; for distant pairs twice cap of a stage are enough, cap of each close family at
+    most. Both joins are therefore bounded for every family, and the result is that of all pairs."""
     m = cens.where("NOT censored AND max_stage IS NOT NULL").select("target_id", "centre", "max_stage").join(targets.select("target_id", "cluster30", "cluster70"), "target_id")
-    a, b = m.alias("a"), m.alias("b")
-    j = a.join(b, (F.col("a.cluster30") == F.col("b.cluster30")) & (F.col("a.max_stage") > F.col("b.max_stage") + 1))
-    j = j.select(
-        F.col("a.cluster30").alias("cluster_id"), F.col("a.target_id").alias("chosen_id"), F.col("b.target_id").alias("rejected_id"),
-        F.col("a.max_stage").alias("chosen_stage"), F.col("b.max_stage").alias("rejected_stage"), (F.col("a.max_stage") - F.col("b.max_stage")).alias("stage_gap"),
-        (F.col("a.cluster70") == F.col("b.cluster70")).alias("hard"), (F.col("a.centre") != F.col("b.centre")).alias("cross_centre"),
-    )
+    near = _first(m, ["cluster30", "cluster70", "max_stage"], cap)
+    far = _first(near, ["cluster30", "max_stage"], 2 * cap)
+    same = F.col("a.cluster70") == F.col("b.cluster70")
+
+    def join(x: DataFrame, hard: bool) -> DataFrame:
+        which = same if hard else ~F.coalesce(same, F.lit(False))
+        j = x.alias("a").join(x.alias("b"), (F.col("a.cluster30") == F.col("b.cluster30")) & (F.col("a.max_stage") > F.col("b.max_stage") + 1) & which)
+        return j.select(
+            F.col("a.cluster30").alias("cluster_id"), F.col("a.target_id").alias("chosen_id"), F.col("b.target_id").alias("rejected_id"),
+            F.col("a.max_stage").alias("chosen_stage"), F.col("b.max_stage").alias("rejected_stage"), (F.col("a.max_stage") - F.col("b.max_stage")).alias("stage_gap"),
+            F.lit(hard).alias("hard"), (F.col("a.centre") != F.col("b.centre")).alias("cross_centre"),
+        )
+
     w = Window.partitionBy("cluster_id").orderBy(F.desc("hard"), F.desc("stage_gap"), "chosen_id", "rejected_id")
-    return j.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
+    return join(near, True).union(join(far, False)).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= cap).drop("rn")
 
 
 def label_report(l1: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from stagewise import bridge
 from stagewise.operators import censoring as C
 from stagewise.operators import context as X
 from stagewise.operators import labels as L
+from stagewise.operators import relatives as R
 from stagewise.operators import splits as S
 from stagewise.operators import status
 
@@ -39,3 +40,4 @@ class Model:
     pooled = cached_property(lambda self: X.pool(self.splits))
     context = cached_property(lambda self: X.gate_context(self.pooled))
     cluster_features = cached_property(lambda self: X.cluster_summary(self.pooled))
+    relatives = cached_property(lambda self: R.hits(self.splits, self.targets))

@@ -47,9 +47,6 @@ SHARED = {
     "w5_dense_id_by_size": "SELECT cluster30, n, CAST(row_number() OVER (ORDER BY n DESC, cluster30) - 1 AS INT) AS cluster_id FROM (SELECT cluster30, count(*) AS n FROM {targets} GROUP BY cluster30)",
     "t1_order_limit": "SELECT centre, count(*) AS n FROM {targets} GROUP BY centre ORDER BY n DESC, centre LIMIT 15",
     "t2_nulls_last": "SELECT target_id, max_stage FROM {target_stage} ORDER BY max_stage ASC NULLS LAST, target_id LIMIT 50",
-    "t3_relatives_top": """SELECT target_id, relative_id, CAST(rn AS INT) AS rn FROM (SELECT a.target_id, b.target_id AS relative_id, row_number() OVER (PARTITION BY a.target_id
-        ORDER BY b.censored, CASE WHEN b.max_stage < 4 THEN 1 ELSE 0 END, b.max_stage DESC NULLS LAST, b.target_id) AS rn
-        FROM {splits} a JOIN {splits} b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) WHERE rn <= 6""",
     "t4_order_hits": "SELECT target_id, n_close_precedents, n_cluster_precedents FROM {cluster_features} ORDER BY n_close_precedents DESC, n_cluster_precedents DESC, target_id LIMIT 40",
     "t6_sort_by_tokens": "SELECT conv_id, turn, CAST(floor(length(text) / CAST(4 AS DOUBLE)) AS INT) AS tokens FROM {conversations} ORDER BY tokens, conv_id, turn LIMIT 100",
     "u1_union_distinct": "SELECT chosen_id AS id FROM {labels_l3} WHERE hard UNION SELECT rejected_id AS id FROM {labels_l3} WHERE hard",
@@ -92,7 +89,7 @@ SHARED = {
 }
 
 _STD = "ACDEFGHIKLMNPQRSTVWY"
-_SEQ = "substr(upper(replace(text, 'ß', ' ')), 1, 400)"
+_SEQ = "upper(replace(text, 'ß', ' '))"
 _COUNT = lambda a, s="s": f"(length({s}) - length(replace({s}, '{a}', '')))"
 _N = " + ".join(_COUNT(a) for a in _STD)
 # Hydropathy of the 20 standard residues (Kyte and Doolittle).
@@ -190,10 +187,6 @@ DUAL = {
         "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY pr) AS rn FROM (SELECT o_orderkey AS id, 'csv' AS source, 1 AS pr FROM {orders} WHERE o_orderstatus = 'F' UNION ALL SELECT target_id, 'reference', 2 FROM {targets})) WHERE rn = 1",
         "SELECT id, source FROM (SELECT id, source, row_number() OVER (PARTITION BY id ORDER BY pr) AS rn FROM (SELECT o_orderkey AS id, 'csv' AS source, 1 AS pr FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT target_id, 'reference', 2 FROM targets)) WHERE rn = 1",
     ),
-    "g3_precedent_list": (
-        "SELECT target_id, slice(transform(array_sort(collect_list(struct(-max_stage AS s, rel))), x -> x.rel), 1, 8) AS precedents FROM (SELECT a.target_id, b.target_id AS rel, coalesce(b.max_stage, -1) AS max_stage FROM {splits} a JOIN {splits} b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) GROUP BY target_id",
-        "SELECT target_id, list(rel ORDER BY max_stage DESC, rel)[1:8] AS precedents FROM (SELECT a.target_id, b.target_id AS rel, coalesce(b.max_stage, -1) AS max_stage FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) GROUP BY target_id",
-    ),
     "u3_set_difference": (
         "SELECT p_partkey, array_sort(array_except(split(p_name, ' '), split(lower(p_type), ' '))) AS left_words FROM {part}",
         "SELECT p_partkey, list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(string_split(lower(p_type), ' '), x)))) AS left_words FROM part",
