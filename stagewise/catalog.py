@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stagewise.bridge import DUCK_CTE
-from stagewise.functions.sequence import sequence_features
+from stagewise.functions.sequence import intervals, sequence_features
 from stagewise.operators import censoring, labels, relatives, splits, status
+from stagewise.plans import domain, portable
 from stagewise.plans.model import Model
-from stagewise.plans.portable import DUAL, SHARED
+
+SHARED, DUAL = portable.SHARED | domain.SHARED, portable.DUAL | domain.DUAL
 
 #: query -> (what of the model, its SQL over DUCK_CTE)
 CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
@@ -94,3 +96,4 @@ ORACLE_SQL |= {k: _duck(t) for k, t in SHARED.items()} | {k: DUCK_CTE + t for k,
 
 #: Beyond SQL: tests hold these against plain Python.
 QUERIES["m17_sequence_features"] = _core(lambda m: sequence_features(m.table("documents").selectExpr("doc_id", "upper(text) AS s"), "doc_id", "s"))
+QUERIES["m12_jeffreys"] = _core(lambda m: intervals(m.context.select("target_id", "gate", "n_precedents", "n_precedents_cleared"), "n_precedents_cleared", "n_precedents"))

@@ -58,14 +58,28 @@ def low_complexity(codes: np.ndarray, w: int = 20, bits: float = 2.9) -> float:
     """Share of windows whose residue entropy is below `bits`."""
     if len(codes) < w:
         return 0.0
-    one_hot = np.zeros((len(codes) + 1, 20))
-    one_hot[np.arange(1, len(codes) + 1), codes] = 1
-    counts = np.cumsum(one_hot, 0)
-    p = (counts[w:] - counts[:-w]) / w
-    entropy = -(p * np.log2(np.where(p > 0, p, 1))).sum(1)
+    entropy = np.zeros(len(codes) - w + 1)
+    for a in range(20):  # one residue at a time: memory is a few arrays of the sequence's length
+        c = np.r_[0, np.cumsum(codes == a)]
+        p = (c[w:] - c[:-w]) / w
+        entropy -= p * np.log2(np.where(p > 0, p, 1))
     return float((entropy < bits).mean())
 
 
+def disorder(codes: np.ndarray, window: int = 51) -> tuple[float, float, float, float]:
+    """Shares of positions predicted disordered (FoldIndex below zero): overall, first 30, last 30, between; NaN for nothing."""
+    if not len(codes):
+        return (math.nan,) * 4
+    w = min(window, len(codes))
+    sign = np.zeros(20)
+    sign[[RESIDUES.index(a) for a in "KR"]], sign[[RESIDUES.index(a) for a in "DE"]] = 1, -1
+    # Fixed values of the index: slope of hydropathy scaled to 0..1, and offset.
+    index = 2.785 * window_means((HYDROPATHY[codes] + 4.5) / 9.0, w) - np.abs(window_means(sign[codes], w)) - 1.151
+    low, edge = index < 0, min(30, len(index))
+    inner = low[edge:-edge]
+    return float(low.mean()), float(low[:edge].mean()), float(low[-edge:].mean()), float(inner.mean()) if len(inner) else 0.0
+
+
 def features(s: str) -> tuple[int, int, bool, float]:
     """(n_residues, helices, signal, low_complexity) of one sequence."""
     c = encode(s)
@@ -73,18 +87,51 @@ def features(s: str) -> tuple[int, int, bool, float]:
     return len(c), count_runs(window_means(h, 19) > 1.6), bool((window_means(h[:30], 10) > 1.6).any()), low_complexity(c)
 
 
+FEATURES = """seq_len int, n_residues int, pi double, gravy double, net_charge_ph7 double, aromatic_frac double, cys_frac double, met_frac double, gly_frac double,
+    pro_frac double, cys_count int, met_count int, helices int, signal_peptide boolean, disorder_frac double, disorder_nterm double, disorder_cterm double,
+    disorder_internal double, low_complexity double"""
+
+
+def feature_frame(texts):
+    """The features of FEATURES for an iterable of sequences, as a dict of arrays; the same for one row and for many."""
+    codes = [encode(s) for s in texts]
+    rows, spread = [features(s) for s in texts], np.array([disorder(c) for c in codes]).reshape(-1, 4)
+    counts = np.array([np.bincount(c, minlength=20) for c in codes], float).reshape(-1, 20)
+    n = counts.sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        share = lambda letters: sum(counts[:, RESIDUES.index(a)] for a in letters) / n
+        gravy = counts @ HYDROPATHY / n
+    count = lambda a: counts[:, RESIDUES.index(a)].astype(int)
+    return dict(
+        seq_len=[len(s) for s in texts], n_residues=n.astype(int), pi=np.where(n > 0, isoelectric_point(counts), np.nan), gravy=gravy,
+        net_charge_ph7=np.where(n > 0, net_charge(counts, 7.0), np.nan), aromatic_frac=share("FWY"), cys_frac=share("C"), met_frac=share("M"), gly_frac=share("G"), pro_frac=share("P"),
+        cys_count=count("C"), met_count=count("M"), helices=[r[1] for r in rows], signal_peptide=[r[2] for r in rows],
+        disorder_frac=spread[:, 0], disorder_nterm=spread[:, 1], disorder_cterm=spread[:, 2], disorder_internal=spread[:, 3], low_complexity=[r[3] for r in rows],
+    )
+
+
 def sequence_features(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key, n_residues, pi, helices, signal_peptide, low_complexity; each distinct sequence is computed once."""
-    schema = "s string, n_residues int, pi double, helices int, signal_peptide boolean, low_complexity double"
+    """key and FEATURES; each distinct sequence is computed once. Rows without a sequence have no features and are left out."""
 
     def run(batches):
         for b in batches:
-            rows = [features(s) for s in b["s"]]
-            counts = np.array([np.bincount(encode(s), minlength=20) for s in b["s"]]).reshape(-1, 20)
-            yield b.assign(n_residues=[r[0] for r in rows], pi=isoelectric_point(counts), helices=[r[1] for r in rows], signal_peptide=[r[2] for r in rows], low_complexity=[r[3] for r in rows])
+            yield b.assign(**feature_frame(list(b["s"])))
 
     distinct = df.select(F.col(column).alias("s")).where("s IS NOT NULL").distinct()
-    return df.select(F.col(key), F.col(column).alias("s")).join(distinct.mapInPandas(run, schema), "s").drop("s")
+    return df.select(F.col(key), F.col(column).alias("s")).join(distinct.mapInPandas(run, "s string, " + FEATURES), "s").drop("s")
+
+
+def intervals(df: DataFrame, cleared: str, entered: str, level: float = 0.95) -> DataFrame:
+    """df with lo and hi of the Jeffreys interval. Each distinct pair of counts is computed once."""
+
+    def run(batches):
+        for b in batches:
+            both = [jeffreys(int(k), int(n), level) for k, n in zip(b["_k"], b["_n"], strict=True)]
+            yield b.assign(lo=[x[0] for x in both], hi=[x[1] for x in both])
+
+    pairs = df.select(F.col(cleared).cast("long").alias("_k"), F.col(entered).cast("long").alias("_n")).na.drop().distinct()
+    table = pairs.mapInPandas(run, "_k long, _n long, lo double, hi double")
+    return df.join(table, (F.col(cleared) == F.col("_k")) & (F.col(entered) == F.col("_n")), "left").drop("_k", "_n")
 
 
 def beta_cdf(x: float, a: float, b: float) -> float:

@@ -13,6 +13,7 @@ from stagewise.operators import labels as L
 from stagewise.operators import relatives as R
 from stagewise.operators import splits as S
 from stagewise.operators import status
+from stagewise.session import stored
 
 
 class Model:
@@ -36,7 +37,7 @@ class Model:
     labels_l1 = cached_property(lambda self: L.gate_transitions(self.censoring, self.targets))
     labels_l2 = cached_property(lambda self: L.outcomes(self.censoring))
     labels_l3 = cached_property(lambda self: L.pairs(self.censoring, self.targets, self.cfg.pair_cap))
-    splits = cached_property(lambda self: S.build(self.censoring, self.targets, self.clean, self.cfg))
+    splits = cached_property(lambda self: stored(S.build(self.censoring, self.targets, self.clean, self.cfg), "splits"))
     pooled = cached_property(lambda self: X.pool(self.splits))
     context = cached_property(lambda self: X.gate_context(self.pooled))
     cluster_features = cached_property(lambda self: X.cluster_summary(self.pooled))

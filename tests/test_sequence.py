@@ -40,3 +40,17 @@ def test_frame_equals_single_rows(spark):
     got = {r.k: r for r in S.sequence_features(spark.createDataFrame(rows, "k long, q string"), "k", "q").collect()}
     for k, s in rows:
         assert (got[k].n_residues, got[k].helices, got[k].signal_peptide, got[k].low_complexity) == S.features(s)
+
+
+def test_disorder():
+    assert S.disorder(S.encode("K" * 200)) == (1.0, 1.0, 1.0, 1.0)
+    assert S.disorder(S.encode("I" * 200)) == (0.0, 0.0, 0.0, 0.0)
+    whole, first, last, _ = S.disorder(S.encode("E" * 120 + "I" * 120))
+    assert first == 1.0 and last == 0.0 and 0.4 < whole < 0.6
+    assert all(math.isnan(x) for x in S.disorder(S.encode("")))
+
+
+def test_intervals_equal_single_rows(spark):
+    rows = [(1, 0, 0), (2, 3, 7), (3, 7, 7), (4, None, 5)]
+    got = {r.t: (r.lo, r.hi) for r in S.intervals(spark.createDataFrame(rows, "t long, k int, n int"), "k", "n").collect()}
+    assert got == {t: (None, None) if k is None else S.jeffreys(k, n) for t, k, n in rows}
