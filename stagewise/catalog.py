@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stagewise.bridge import DUCK_CTE
 from stagewise.functions.sequence import intervals, sequence_features
 from stagewise.operators import censoring, labels, relatives, splits, status
-from stagewise.plans import domain, portable
+from stagewise.plans import domain, files, portable
 from stagewise.plans.model import Model
 
 SHARED, DUAL = portable.SHARED | domain.SHARED, portable.DUAL | domain.DUAL
@@ -67,6 +67,8 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
     "x5_cluster_summary": (lambda m: m.cluster_features, "SELECT * FROM cluster_features"),
 }
 
+CORE |= files.CORE
+
 _NAME = re.compile(r"\{(\w+)\}")
 
 
