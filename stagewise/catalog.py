@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stagewise.bridge import DUCK_CTE
 from stagewise.functions.sequence import intervals, sequence_features
 from stagewise.operators import censoring, labels, relatives, splits, status
-from stagewise.plans import domain, files, portable
+from stagewise.plans import domain, files, portable, training
 from stagewise.plans.model import Model
 
 SHARED, DUAL = portable.SHARED | domain.SHARED, portable.DUAL | domain.DUAL
@@ -67,7 +67,7 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
     "x5_cluster_summary": (lambda m: m.cluster_features, "SELECT * FROM cluster_features"),
 }
 
-CORE |= files.CORE
+CORE |= files.CORE | training.CORE
 
 _NAME = re.compile(r"\{(\w+)\}")
 
@@ -99,3 +99,4 @@ ORACLE_SQL |= {k: _duck(t) for k, t in SHARED.items()} | {k: DUCK_CTE + t for k,
 #: Beyond SQL: tests hold these against plain Python.
 QUERIES["m17_sequence_features"] = _core(lambda m: sequence_features(m.table("documents").selectExpr("doc_id", "upper(text) AS s"), "doc_id", "s"))
 QUERIES["m12_jeffreys"] = _core(lambda m: intervals(m.context.select("target_id", "gate", "n_precedents", "n_precedents_cleared"), "n_precedents_cleared", "n_precedents"))
+QUERIES |= {k: _core(f) for k, f in training.FITTED.items()}

@@ -41,8 +41,8 @@ SHARED = {
     "a15_outcomes_by_centre": "SELECT centre, outcome, count(*) AS n FROM {labels_l2} GROUP BY centre, outcome",
     "a16_value_counts": "SELECT status_raw, count(*) AS n FROM {events} GROUP BY status_raw",
     "w2_share_of_total": "SELECT status_canon, n, round(CAST(100 AS DOUBLE) * n / sum(n) OVER (), 4) AS pct FROM (SELECT status_canon, count(*) AS n FROM {canon} GROUP BY status_canon)",
-    "w3_percentile_decile": """SELECT p_partkey, CAST(floor((rk + (ties - 1) / CAST(2 AS DOUBLE)) / n * 10) AS INT) AS decile FROM (SELECT p_partkey, rank() OVER (ORDER BY p_size) AS rk,
-        count(*) OVER (PARTITION BY p_size) AS ties, count(*) OVER () AS n FROM {part})""",
+    "w3_percentile_decile": """SELECT p.p_partkey, CAST(floor((k.below + 1 + (k.ties - 1) / CAST(2 AS DOUBLE)) / k.n * 10) AS INT) AS decile FROM {part} p JOIN (SELECT p_size, ties, sum(ties) OVER (ORDER BY p_size) - ties AS below,
+        sum(ties) OVER () AS n FROM (SELECT p_size, CAST(count(*) AS DOUBLE) AS ties FROM {part} GROUP BY p_size)) k ON k.p_size = p.p_size""",
     "w4_group_size": "SELECT target_id, count(*) OVER (PARTITION BY cluster30) AS cluster_size FROM {targets}",
     "w5_dense_id_by_size": "SELECT cluster30, n, CAST(row_number() OVER (ORDER BY n DESC, cluster30) - 1 AS INT) AS cluster_id FROM (SELECT cluster30, count(*) AS n FROM {targets} GROUP BY cluster30)",
     "t1_order_limit": "SELECT centre, count(*) AS n FROM {targets} GROUP BY centre ORDER BY n DESC, centre LIMIT 15",
@@ -76,10 +76,9 @@ SHARED = {
     "s8_md5_key": "SELECT doc_id, CASE WHEN text <> '' THEN md5(text) ELSE '' END AS seq_md5 FROM {documents}",
     "m14_brier": """SELECT l.gate, round(avg((c.cluster_base_rate - y) * (c.cluster_base_rate - y)), 6) AS brier FROM (SELECT *, CASE WHEN label = 'cleared' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y FROM {labels_l1} WHERE in_loss) l
         JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE c.cluster_base_rate IS NOT NULL GROUP BY l.gate""",
-    "m14_auroc": """SELECT gate, CASE WHEN pos > 0 AND n > pos THEN round((rank_sum - pos * (pos + 1) / CAST(2 AS DOUBLE)) / (CAST(pos AS DOUBLE) * (n - pos)), 6) END AS auroc FROM (
-        SELECT gate, sum(CASE WHEN label = 'cleared' THEN rk + (ties - 1) / CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) AS rank_sum, count(*) FILTER (WHERE label = 'cleared') AS pos, count(*) AS n FROM (
-        SELECT l.gate, l.label, rank() OVER (PARTITION BY l.gate ORDER BY c.cluster_base_rate) AS rk, count(*) OVER (PARTITION BY l.gate, c.cluster_base_rate) AS ties
-        FROM {labels_l1} l JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE l.in_loss AND c.cluster_base_rate IS NOT NULL) GROUP BY gate)""",
+    "m14_auroc": """SELECT gate, CASE WHEN pos > 0 AND neg > 0 THEN round(u / (pos * neg), 6) END AS auroc FROM (SELECT gate, sum(p * (below + n / CAST(2 AS DOUBLE))) AS u, sum(p) AS pos, sum(n) AS neg FROM (
+        SELECT gate, p, n, sum(n) OVER (PARTITION BY gate ORDER BY r) - n AS below FROM (SELECT l.gate, c.cluster_base_rate AS r, CAST(count(*) FILTER (WHERE l.label = 'cleared') AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE l.label <> 'cleared') AS DOUBLE) AS n
+        FROM {labels_l1} l JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE l.in_loss AND c.cluster_base_rate IS NOT NULL GROUP BY l.gate, c.cluster_base_rate)) GROUP BY gate)""",
     "m13_reliability": """SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM (SELECT c.cluster_base_rate AS p, CASE WHEN l.label = 'cleared' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y,
         CASE WHEN c.cluster_base_rate <= 0.1 THEN 0 WHEN c.cluster_base_rate <= 0.2 THEN 1 WHEN c.cluster_base_rate <= 0.30000000000000004 THEN 2 WHEN c.cluster_base_rate <= 0.4 THEN 3 WHEN c.cluster_base_rate <= 0.5 THEN 4
         WHEN c.cluster_base_rate <= 0.6000000000000001 THEN 5 WHEN c.cluster_base_rate <= 0.7000000000000001 THEN 6 WHEN c.cluster_base_rate <= 0.8 THEN 7 WHEN c.cluster_base_rate <= 0.9 THEN 8 ELSE 9 END AS bin

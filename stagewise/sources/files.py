@@ -14,7 +14,7 @@ def read_tsv(spark: SparkSession, path: str, key: str, encoding: str = "ISO-8859
 
 
 def write_tsv(df: DataFrame, path: str, encoding: str = "ISO-8859-1") -> None:
-    df.write.csv(path, sep="\t", header=True, encoding=encoding, quote="")
+    df.write.csv(path, sep="\t", header=True, encoding=encoding, quote="", emptyValue="")
 
 
 def write_chat(records: DataFrame, path: str) -> None:
