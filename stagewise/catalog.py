@@ -72,18 +72,23 @@ CORE |= files.CORE | training.CORE
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+def model_of(spark: SparkSession, sf_dir: str) -> Model:
+    """A new model for each query, so that none sees another's stored tables."""
+    return Model(spark, sf_dir)
+
+
 def _portable(text: str) -> Callable[[SparkSession, str], DataFrame]:
     names = set(_NAME.findall(text))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = Model(spark, sf_dir)
+        m = model_of(spark, sf_dir)
         return spark.sql(text, **{n: getattr(m, n) if hasattr(Model, n) else m.table(n) for n in names})
 
     return run
 
 
 def _core(make: Callable[[Model], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: make(Model(spark, sf_dir))
+    return lambda spark, sf_dir: make(model_of(spark, sf_dir))
 
 
 def _duck(text: str) -> str:
