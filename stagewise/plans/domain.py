@@ -109,6 +109,8 @@ _hit = lambda name, pick: f"SELECT '{name}' AS contender, count(*) AS n, count(*
 
 SHARED = {
     "b6_forecast": f"SELECT target_id, wall, lowest, {', '.join(f'round(p{g}, 6) AS p{g}, round(s{g}, 6) AS s{g}' for g in range(8))} FROM ({FORECAST})",
+    "b8_forecast_payload": f"""SELECT f.target_id, chr(123) || '"target":' || {S('f.target_id')} || ',"centre":"' || t.centre || '","conditional":[' || {" || ',' || ".join(two(f'f.p{g}') for g in range(8))} || '],"survival":[' || {" || ',' || ".join(two(f'f.s{g}') for g in range(8))}
+        || '],"bottleneck":' || chr(123) || '"gate":' || {S('f.wall')} || ',"step":"' || {step('f.wall')} || '"' || chr(125) || ',"strength":"' || c.strength || '"' || chr(125) AS payload FROM ({FORECAST}) f JOIN {{targets}} t ON t.target_id = f.target_id JOIN {{cluster_features}} c ON c.target_id = f.target_id""",
     "x8_request_context": f"SELECT *, CASE WHEN n_close > 0 THEN {D(0.7)} WHEN n_precedents > 0 THEN {D(0.3)} ELSE {D(0)} END AS band, round({D('n_censored')} / n_hits, 6) AS censored_frac, CASE WHEN n_precedents > 0 THEN round({D('n_deposited')} / n_precedents, 6) END AS deposit_rate, {_STRENGTH} AS strength FROM ({REQUEST})",
     "f22_relative_facts": FACTS,
     "g7_orthologue_ranking": RANKING,
