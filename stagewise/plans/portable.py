@@ -10,7 +10,7 @@ SHARED = {
     "p2_search_case": "SELECT target_id, CASE WHEN any_xray = 1 THEN 'xray' WHEN any_nmr = 1 THEN 'nmr' WHEN any_em = 1 THEN 'em' ELSE 'none' END AS method FROM {target_stage}",
     "p3_null_safe_predicate": "SELECT target_id, coalesce(max_stage, -1) >= 8 AS top FROM {target_stage} WHERE coalesce(max_stage, -1) < 3",
     "p4_like_flags": "SELECT p_partkey, lower(p_name) LIKE '%green%' AS has_green, p_type LIKE 'PROMO%' AS is_promo FROM {part}",
-    "p5_in_list": "SELECT target_id, centre IN ('FRANCE', 'CHINA', 'JAPAN') AS held FROM {targets}",
+    "p5_in_list": "SELECT target_id, centre IN ('NATION_1', 'NATION_5', 'NATION_9') AS held FROM {targets}",
     "p8_case_average": "SELECT centre, round(100 * avg(CASE WHEN censored THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 2) AS pct FROM {censoring} GROUP BY centre",
     "j1_left_dimension": "SELECT e.target_id, e.trial_id, e.status_raw, m.status_canon FROM {events} e LEFT JOIN {status_map} m ON e.status_raw = m.status_raw",
     "j2_inner_using": "SELECT target_id, organism, max_stage FROM {targets} JOIN {target_stage} USING (target_id)",
