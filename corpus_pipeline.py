@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stagewise.llm import mixing, packing, quality_rules, secret_scan, simhash
+from stagewise.llm import mixing, packing, quality_rules, secret_scan, shingle_dedup
 from stagewise.llm.common import ensure_checkpoint_dir
 
 
@@ -21,13 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest id; documents without an id stay.
+    """One row of each group stays, that with the smallest id.
 
-    Five-word shingles; 13 of 64 bits make candidates, of which those stay linked that differ in at most
-    26 of 128 bits (a shingle similarity of 0.8 gives 19.4 on average)."""
-    groups = simhash.near_duplicates(docs, shingle=5, max_distance=13, both_distance=26)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Groups are connected by pairs whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return shingle_dedup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near-dedup", near_dedup), ("secret scan", secrets), ("mixing", mix), ("packing", pack)]
 
-#: The fingerprints and the packing are beyond SQL; tests hold every stage against plain Python.
+#: The shingle sets and the packing are beyond SQL; tests hold every stage against plain Python.
 ORACLE_SQL = None
 
 
