@@ -72,3 +72,12 @@ def test_shared_passage_is_no_copy(spark, sf):
     rows = [(i, shared + " " + " ".join(f"w{r.random()}" for _ in range(60))) for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert C.near_dedup(spark, docs, sf).count() == 60
+
+
+def test_one_row_of_each_group(spark, sf):
+    a, b, c = ("copied " + " ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, a), (2, a), (None, a), (None, b), (None, b), (3, c), (2, "of its own"), (4, None), (5, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, C.near_dedup(spark, docs, sf).collect()), key=repr)
+    assert got == sorted([(1, a), (None, b), (3, c), (2, "of its own"), (4, None)], key=repr)
+    assert C.near_dedup(spark, docs.limit(0), sf).count() == 0
