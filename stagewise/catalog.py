@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stagewise.bridge import DUCK_CTE
 from stagewise.functions.sequence import intervals, sequence_features
-from stagewise.operators import censoring, labels, relatives, splits, status
+from stagewise.operators import censoring, labels, relatives, similarity, splits, status
 from stagewise.plans import domain, files, portable, training
 from stagewise.plans.model import Model
 
@@ -61,6 +61,11 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
         "SELECT query_id AS target_id, list(target_id ORDER BY rn) AS precedents FROM relatives WHERE rn <= 8 GROUP BY query_id",
     ),
     "j12_retrieved_hits": (lambda m: m.relatives, "SELECT * FROM relatives"),
+    "j14_similarity_join_all": (
+        lambda m: similarity.similar_pairs(m.table("embeddings")),
+        """SELECT q.vec_id AS query_id, t.vec_id AS target_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6) AS identity
+        FROM embeddings q JOIN embeddings t ON q.vec_id <> t.vec_id WHERE list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) >= 0.3::DOUBLE""",
+    ),
     "x1_pool": (lambda m: m.pooled.select("target_id", "cluster_id", "cluster70", "eligible"), "SELECT target_id, cluster_id, cluster70, eligible FROM pooled"),
     "x3_leave_one_out": (lambda m: m.context.select("target_id", "gate", "n_precedents", "n_precedents_cleared"), "SELECT target_id, gate, n_precedents, n_precedents_cleared FROM context"),
     "x4_base_rate": (lambda m: m.context, "SELECT * FROM context"),
