@@ -9,6 +9,8 @@ stay open. The second pass gives open blocks the label of their nearest decided
 neighbours (frames like menus don't count): that of both if they agree, else that of the nearer one, and the bad one's
 on a tie. A page with an article keeps nothing outside it.
 
+Frames that only a class or id names yield to an article inside them if the page has no article outside such a frame.
+
 Defined cases: null html is empty and gives an empty text; text without any tag is one
 block; unclosed tags end with their parent; rows with equal keys stay separate; other
 columns are kept as they are.
@@ -32,7 +34,7 @@ STOP = frozenset(
 )
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = "script|style|noscript|template|head|title|svg|math|iframe|object|select|textarea|button|canvas|audio|video"
+DROPPED = "script|style|noscript|template|head|title|svg|iframe|object|select|textarea|button|canvas|audio|video"
 FRAME_TAGS = frozenset("nav footer aside form menu dialog".split())
 FRAME_WORDS = frozenset(
     """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside menu nav navbar navigation breadcrumb
@@ -40,24 +42,35 @@ FRAME_WORDS = frozenset(
     share sharing social related recommended recommendations popular trending widget popup modal overlay toolbar pagination pager copyright legal disclaimer search""".split()
 )
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th figure figcaption".split())
 MAIN_WORDS = frozenset("article-body articlebody post-content entry-content article-content main-content story-body post-body".split())
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({DROPPED})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE
+    rf"<!--.*?(?:-->|\Z)|<({DROPPED})(?=[\s/>])(?:\s*/>|(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=[\s\"'])/>|(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|(?=<body\b)|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL | re.IGNORECASE
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Block:
-    __slots__ = ("parts", "link", "bad", "inside")
+    __slots__ = ("parts", "link", "bad", "inside", "wrapped")
+
+    def __init__(self, bad: bool, inside: bool, wrapped: bool = False) -> None:
+        self.parts, self.link, self.bad, self.inside, self.wrapped = [], 0, bad, inside, wrapped
+
 
-    def __init__(self, bad: bool, inside: bool) -> None:
-        self.parts, self.link, self.bad, self.inside = [], 0, bad, inside
+def _named(tag: str, name: str, value: str, in_article: bool) -> bool:
+    """Whether a class or id says frame. In an article, prose ignores both, and a section heeds whole class names only."""
+    if in_article and (tag in PROSE or tag == "section" and name == "id"):
+        return False
+    names = [x for x in value.split() if not x.startswith(("with-", "has-", "no-"))]
+    if in_article and tag == "section":
+        return bool(FRAME_WORDS.intersection(names))
+    return any(FRAME_WORDS.intersection(re.split(r"[^a-z0-9]+", x)) for x in names)
 
 
 def _kind(tag: str, attributes: str, in_article: bool) -> str:
-    """'frame' for what surrounds the text, 'main' for a marked article, else ''."""
+    """'frame' for what surrounds the text, 'words' if only a class or id says so, 'main' for a marked article, else ''."""
     if tag in FRAME_TAGS or tag == "header" and not in_article:
         return "frame"
     if tag in ("article", "main"):
@@ -69,8 +82,8 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
         if name in ("class", "id"):
             if MAIN_WORDS.intersection(value.split()):
                 return "main"
-            if FRAME_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
-                return "frame"
+            if _named(tag, name, value, in_article):
+                return "words"
         elif name == "role" and value in FRAME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
             return "frame"
         elif name == "role" and value in ("main", "article") or name == "itemprop" and value == "articlebody":
@@ -80,15 +93,26 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
 
 def blocks_of(page: str) -> list[Block]:
     out, stack, at = [Block(False, False)], [], 0  # stack: (tag, kind)
-    frames = mains = links = 0
+    frames = words = mains = links = 0  # words: frames by class or id that no article inside them has suspended
 
     def close(k: int) -> None:
-        nonlocal frames, mains, links
+        nonlocal frames, words, mains, links
         for tag, kind in stack[k:]:
             frames -= kind == "frame"
             mains -= kind == "main"
             links -= tag == "a"
         del stack[k:]
+        words = words_now()
+
+    def words_now() -> int:
+        """0: in no frame by words, 1: in one that wraps the innermost article, 2: in one below it."""
+        got = 0
+        for _, kind in stack:
+            if kind == "words":
+                got = 2
+            elif kind == "main" and got:
+                got = 1
+        return got
 
     def text(t: str) -> None:
         if t:
@@ -120,8 +144,10 @@ def blocks_of(page: str) -> list[Block]:
                 frames += kind == "frame"
                 mains += kind == "main"
                 links += tag == "a"
+                if kind:
+                    words = words_now()
         if tag in BLOCKS:
-            out.append(Block(frames > 0, mains > 0))
+            out.append(Block(frames > 0 or words == 2, mains > 0, words == 1))
     text(html.unescape(page[at:]))
     return out
 
@@ -132,6 +158,11 @@ def main_text(page: str, short: int = 70, long: int = 200, stop_low: float = 0.2
         words = "".join(b.parts).split()
         if words:
             kept.append((b, words, sum(map(len, words)) + len(words) - 1))
+    if not any(b.inside and not b.bad and not b.wrapped for b, _, _ in kept):
+        for b, _, _ in kept:  # a frame by words yields to the article that it wraps, if the page has no other
+            b.wrapped = False
+    for b, _, _ in kept:
+        b.bad = b.bad or b.wrapped
     marked = any(b.inside and not b.bad for b, _, _ in kept)
     labels: list[bool | None] = []
     for b, words, size in kept:  # first pass

@@ -46,3 +46,19 @@ def test_cases(spark):
     assert sorted(map(repr, H.extract(df).collect())) == sorted(["Row(page_id=1, text='')", "Row(page_id=1, text='x')", "Row(page_id=None, text='')"])
     assert H.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
     assert len(H.main_text("<div><p>" + "of the sea " * 200000)) > 10**6
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class='layout with-sidebar'><article><p>{LONG}</p></article></div>", LONG.strip()),
+        (f"<div class='page sidebar-left'><div class='sidebar'>other</div><article><p>{LONG}</p></article></div>", LONG.strip()),
+        ("<article><p>yes</p></article><div class='comments'><article><p>no</p></article></div>", "yes"),
+        ("<article><section id='related-work'><h2 id='legal-status'>Law</h2><p class='notice'>one</p></section></article>", "Law one"),
+        ("<article><p>a</p><video-player src='x'></video-player><p>b</p></article>", "a b"),
+        ("<article><p>a</p><svg viewBox='0 0 1 1'/><p>b</p><svg/><p>c <math><mi>x</mi></math></p></article>", "a b c x"),
+        ("<article><p>a</p><svg><text>no</text></svg><video src='x'>no</video></article>", "a"),
+    ],
+)
+def test_frames_and_dropped_tags(page, text):
+    assert H.main_text(page) == text
