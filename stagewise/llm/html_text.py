@@ -3,11 +3,13 @@
 The page is read into blocks (text between block-level tags) with the share of stop words,
 of link text, the length and the place of each. The first pass decides each block alone:
 blocks inside menus, headers, footers, sidebars, adverts, forms, notices or comments and
-blocks that are mostly links are bad; blocks inside a marked article are good; elsewhere
-long blocks with many stop words are good, long ones with few are bad, and short ones
-stay open. The second pass gives open blocks the label of their nearest decided
+blocks that are mostly links are bad; long blocks with many stop words are good, long ones
+with few are bad, and short ones stay open. A marked article counts as a bonus to the share of stop words
+of the blocks in it, large enough that they need none, and as a bad prior for short blocks outside. The marks hold if
+their text is at least as long as the text outside that the stop words call good; else they are teasers: their short
+blocks are bad and their long ones are judged without the bonus. The second pass gives open blocks the label of their nearest decided
 neighbours (frames like menus don't count): that of both if they agree, else that of the nearer one, and the bad one's
-on a tie. A page with an article keeps nothing outside it.
+on a tie.
 
 Frames that only a class or id names yield to an article inside them if the page has no article outside such a frame.
 
@@ -41,6 +43,7 @@ FRAME_WORDS = frozenset(
     breadcrumbs footer masthead comment comments respond disqus replies cookie cookies consent gdpr notice notices alert newsletter subscribe signup login
     share sharing social related recommended recommendations popular trending widget popup modal overlay toolbar pagination pager copyright legal disclaimer search""".split()
 )
+ASIDE_ARTICLES = frozenset("comment teaser card promo sponsored ad advert related recommended".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dt dd td th figure figcaption".split())
 MAIN_WORDS = frozenset("article-body articlebody post-content entry-content article-content main-content story-body post-body".split())
@@ -74,7 +77,8 @@ def _kind(tag: str, attributes: str, in_article: bool) -> str:
     if tag in FRAME_TAGS or tag == "header" and not in_article:
         return "frame"
     if tag in ("article", "main"):
-        return "main"
+        names = [x for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "class" for x in (m[2] or m[3] or m[4] or "").lower().split()]
+        return "frame" if tag == "article" and any(re.split(r"[-_]+", x)[-1] in ASIDE_ARTICLES and not x.startswith(("with-", "has-", "no-")) for x in names) else "main"
     if not attributes or tag in ("html", "body"):
         return ""
     for m in _ATTRIBUTE.finditer(attributes):
@@ -163,19 +167,28 @@ def main_text(page: str, short: int = 70, long: int = 200, stop_low: float = 0.2
             b.wrapped = False
     for b, _, _ in kept:
         b.bad = b.bad or b.wrapped
-    marked = any(b.inside and not b.bad for b, _, _ in kept)
+
+    def judge(b: Block, words: list[str], size: int, bonus: float) -> bool | None:
+        """The block's own label."""
+        if b.link > link_high * size:
+            return None if bonus and size < short else False
+        stop = sum(w.strip(".,;:!?").lower() in STOP for w in words) / len(words) + bonus
+        if bonus and size < short:
+            return True
+        return None if size < short else stop >= stop_low if size <= long else stop >= stop_high or (None if stop >= stop_low else False)
+
+    inside = sum(size for b, _, size in kept if b.inside and not b.bad and b.link <= link_high * size)
+    outside = sum(size for b, words, size in kept if not b.inside and not b.bad and judge(b, words, size, 0))
+    marks = any(b.inside and not b.bad for b, _, _ in kept)
+    marked = marks and inside >= outside
     labels: list[bool | None] = []
     for b, words, size in kept:  # first pass
-        linked = b.link > link_high * size
-        if b.bad or marked and not b.inside:
-            labels.append(False)
-        elif marked:
-            labels.append(None if linked and size < short else not linked)
-        elif linked:
-            labels.append(False)
-        else:
-            stop = sum(w.strip(".,;:!?").lower() in STOP for w in words) / len(words)
-            labels.append(None if size < short else stop >= stop_low if size <= long else stop >= stop_high or (None if stop >= stop_low else False))
+        x = False if b.bad else judge(b, words, size, stop_high if marked and b.inside else 0)
+        if marked and not b.inside and x is None:
+            x = False
+        elif marks and not marked and b.inside and not x:  # teasers count as frames
+            x, b.bad = False, True
+        labels.append(x)
     decided = [i for i, x in enumerate(labels) if x is not None and not kept[i][0].bad]
     final, k = [], 0
     for i, x in enumerate(labels):  # second pass

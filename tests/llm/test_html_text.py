@@ -62,3 +62,16 @@ def test_cases(spark):
 )
 def test_frames_and_dropped_tags(page, text):
     assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div><p>{LONG}</p><p>Short end.</p></div><article><a href='/x'>Next</a><p>Read on</p></article>", LONG.strip() + " Short end."),
+        (f"<div><p>{LONG}</p></div><article class='comment'><p>{LONG}no</p></article>", LONG.strip()),
+        (f"<article class='teaser-card'><p>{LONG}no</p></article><article class='post with-comment'><p>yes</p></article>", "yes"),
+        (f"<article><p>{LONG}</p><p>{LONG}</p></article><p>{LONG}</p><p>out</p>", f"{LONG}{LONG}{LONG}".strip()),
+    ],
+)
+def test_article_is_one_feature(page, text):
+    assert H.main_text(page) == text
