@@ -102,6 +102,7 @@ def _duck(text: str) -> str:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: _core(f) for k, (f, _) in CORE.items()}
 QUERIES |= {k: _portable(t) for k, t in SHARED.items()} | {k: _portable(t) for k, (t, _) in DUAL.items()}
+QUERIES |= {k: _portable(t) for k, t in domain.WHOLE.items()}
 ORACLE_SQL: dict[str, str] = {k: DUCK_CTE + t for k, (_, t) in CORE.items()}
 ORACLE_SQL |= {k: _duck(t) for k, t in SHARED.items()} | {k: DUCK_CTE + t for k, (_, t) in DUAL.items()}
 

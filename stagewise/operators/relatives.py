@@ -27,3 +27,62 @@ def hits(splits: DataFrame, targets: DataFrame, k: int = 40) -> DataFrame:
     own = splits.select(F.col("target_id").alias("query"), F.col("cluster70").alias("c70"))
     same = F.when(F.col("cluster70") == F.col("c70"), 0.8).otherwise(0.4)
     return out.join(own, "query").select(F.col("query").alias("query_id"), "target_id", "centre", "organism", "max_stage", "censored", same.alias("identity"), "rn")
+
+
+def _usable() -> Column:
+    return ~F.col("censored") & F.col("max_stage").isNotNull()
+
+
+def request_counts(splits: DataFrame) -> DataFrame:
+    """What all relatives of a query say: the counts of its family without its own row, whatever the family's size."""
+    counted = {"n_hits": F.lit(True), "n_precedents": _usable(), "n_censored": F.col("censored"), "n_deposited": _usable() & (F.col("max_stage") >= 8)}
+    counted |= {f"entered_{g}": _usable() & (F.col("max_stage") >= g) for g in range(8)} | {f"cleared_{g}": _usable() & (F.col("max_stage") > g) for g in range(8)}
+    family = splits.groupBy("cluster_id").agg(*[F.count_if(c).alias(f"f_{n}") for n, c in counted.items()])
+    close = splits.groupBy("cluster_id", "cluster70").agg(F.count(F.lit(1)).alias("c_all"), F.count_if(~F.col("censored")).alias("c_live"))
+    own = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    j = splits.join(family, "cluster_id").join(close, ["cluster_id", "cluster70"], "left").where("f_n_hits > 1")
+    n = {x: (F.col(f"f_{x}") - own(c)).alias(x) for x, c in counted.items()}
+    n_close = F.coalesce(F.col("c_live") - own(~F.col("censored")), F.lit(0)).alias("n_close")
+    closest = F.when(F.col("c_all") > 1, 0.8).otherwise(0.4).alias("closest_identity")
+    return j.select(F.col("target_id").alias("query_id"), n.pop("n_hits"), n.pop("n_precedents"), n_close, n.pop("n_censored"), closest, n.pop("n_deposited"), *n.values(), F.least(F.coalesce("max_stage", F.lit(0)), F.lit(7)).alias("gate"))
+
+
+def fact_counts(splits: DataFrame) -> DataFrame:
+    """query_id, gate and the counts at the query's gate, over all relatives."""
+    at = lambda x: F.element_at(F.array(*[F.col(f"{x}_{g}") for g in range(8)]), F.col("gate") + 1).alias(x)
+    return request_counts(splits).select("query_id", "gate", F.col("n_hits").alias("n_all"), F.col("n_censored").alias("n_cens"), F.col("n_precedents").alias("n_live"), at("entered"), at("cleared"))
+
+
+def _best_other(splits: DataFrame, scored: DataFrame, value: str) -> DataFrame:
+    """query_id, r (value, target_id): the relative with the highest value, then the smallest id. scored: cluster_id, target_id, value."""
+    top = scored.withColumn("_pos", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(value), "target_id"))).where("_pos <= 2")
+    heads = top.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("_pos", "target_id", value))).alias("_top"))
+    own = splits.select("cluster_id", F.col("target_id").alias("query_id")).join(heads, "cluster_id")
+    return own.select("query_id", F.get(F.filter("_top", lambda x: x["target_id"] != F.col("query_id")), F.lit(0)).alias("r")).where("r IS NOT NULL")
+
+
+def furthest(splits: DataFrame) -> DataFrame:
+    """query_id, far_id, far_stage: the uncensored relative that came furthest."""
+    return _best_other(splits, splits.where(_usable()).select("cluster_id", "target_id", "max_stage"), "max_stage").select("query_id", F.col("r.target_id").alias("far_id"), F.col("r.max_stage").alias("far_stage"))
+
+
+def stop_reasons(splits: DataFrame, canon: DataFrame) -> DataFrame:
+    """query_id, reason, n_reason: the reason most often recorded where relatives stopped at the query's gate."""
+    stops = canon.where("terminal AND status_raw <> 'RO3'").groupBy("target_id", F.lower("status_raw").alias("reason")).agg(F.count(F.lit(1)).alias("own"))
+    ended = splits.where(~F.col("censored")).join(stops, "target_id").select("cluster_id", "target_id", F.col("max_stage").alias("gate"), "reason", "own")
+    family = ended.groupBy("cluster_id", "gate", "reason").agg(F.sum("own").alias("n"))
+    asked = splits.select("cluster_id", "target_id", F.least(F.coalesce("max_stage", F.lit(0)), F.lit(7)).alias("gate"))
+    j = asked.join(family, ["cluster_id", "gate"]).join(ended.select("target_id", "gate", "reason", "own"), ["target_id", "gate", "reason"], "left")
+    n = F.col("n") - F.coalesce("own", F.lit(0))
+    best = j.select("target_id", "reason", n.alias("n")).where("n > 0").groupBy("target_id").agg(F.min(F.struct((-F.col("n")).alias("less"), "reason")).alias("r"))
+    return best.select(F.col("target_id").alias("query_id"), F.col("r.reason").alias("reason"), (-F.col("r.less")).alias("n_reason"))
+
+
+def construct_stages(splits: DataFrame, trials: DataFrame, canon: DataFrame) -> DataFrame:
+    """query_id, whole, part: how far full-length and truncated constructs of all uncensored relatives came."""
+    kinds = trials.groupBy("target_id", "trial_id").agg(F.min("kind").alias("kind"))
+    events = splits.where(_usable()).select("cluster_id", "target_id").join(kinds, "target_id").join(canon.select("target_id", "trial_id", "stage_ord"), ["target_id", "trial_id"])
+    whole = F.col("kind").like("%BRASS")
+    best = events.groupBy("cluster_id", "target_id").agg(F.max(F.when(whole, F.col("stage_ord"))).alias("whole"), F.max(F.when(~whole, F.col("stage_ord"))).alias("part"))
+    a, b = (_best_other(splits, best.where(F.col(x).isNotNull()).select("cluster_id", "target_id", x), x).select("query_id", F.col(f"r.{x}").alias(x)) for x in ("whole", "part"))
+    return a.join(b, "query_id", "full_outer")

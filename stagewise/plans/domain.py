@@ -172,3 +172,9 @@ DUAL = {
             FROM (SELECT target_id, trial_id, kind, CASE WHEN size % 3 = 0 THEN 'ACGTACGTACGT' ELSE upper(name) END AS s FROM trials) GROUP BY target_id)""",
     ),
 }
+
+#: X8 and F22 over all relatives: their texts with the parts over {relatives} (a bounded head) replaced by frames made from whole families.
+WHOLE = {
+    "x8_request_context": SHARED["x8_request_context"].replace(f"({REQUEST})", "{request_counts}"),
+    "f22_relative_facts": FACTS.replace(f"({_COUNTS})", "{fact_counts}").replace(f"({_FURTHEST})", "{furthest}").replace(f"({_REASONS})", "{stop_reasons}").replace(f"({_KINDS})", "{construct_stages}"),
+}

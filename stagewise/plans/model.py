@@ -42,3 +42,8 @@ class Model:
     context = cached_property(lambda self: X.gate_context(self.pooled))
     cluster_features = cached_property(lambda self: X.cluster_summary(self.pooled))
     relatives = cached_property(lambda self: R.hits(self.splits, self.targets))
+    request_counts = cached_property(lambda self: R.request_counts(self.splits).drop("gate"))
+    fact_counts = cached_property(lambda self: R.fact_counts(self.splits))
+    furthest = cached_property(lambda self: R.furthest(self.splits))
+    stop_reasons = cached_property(lambda self: R.stop_reasons(self.splits, self.canon))
+    construct_stages = cached_property(lambda self: R.construct_stages(self.splits, self.trials, self.canon))
