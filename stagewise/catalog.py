@@ -56,6 +56,13 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
         ORDER BY b.censored, CASE WHEN b.max_stage < 4 THEN 1 ELSE 0 END, b.max_stage DESC NULLS LAST, b.target_id) AS rn
         FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) WHERE rn <= 6""",
     ),
+    "t3_relatives_informative": (
+        lambda m: relatives.informative(m.splits, m.trials),
+        """SELECT r.target_id, r.relative_id, CAST(r.rn AS INTEGER) AS rn, t.trials FROM (SELECT a.target_id, b.target_id AS relative_id, row_number() OVER (PARTITION BY a.target_id
+        ORDER BY b.censored, coalesce(b.max_stage, -1) DESC, CASE WHEN a.cluster70 = b.cluster70 THEN 0 ELSE 1 END, b.target_id) AS rn
+        FROM splits a JOIN splits b ON a.cluster_id = b.cluster_id AND a.target_id <> b.target_id) r
+        LEFT JOIN (SELECT target_id, list_sort(list(DISTINCT trial_id))[1:3] AS trials FROM trials GROUP BY target_id) t ON t.target_id = r.relative_id WHERE r.rn <= 6""",
+    ),
     "g3_precedent_list": (
         lambda m: m.relatives.where("rn <= 8").groupBy(F.col("query_id").alias("target_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "target_id"))), lambda x: x["target_id"]).alias("precedents")),
         "SELECT query_id AS target_id, list(target_id ORDER BY rn) AS precedents FROM relatives WHERE rn <= 8 GROUP BY query_id",

@@ -86,3 +86,19 @@ def construct_stages(splits: DataFrame, trials: DataFrame, canon: DataFrame) ->
     best = events.groupBy("cluster_id", "target_id").agg(F.max(F.when(whole, F.col("stage_ord"))).alias("whole"), F.max(F.when(~whole, F.col("stage_ord"))).alias("part"))
     a, b = (_best_other(splits, best.where(F.col(x).isNotNull()).select("cluster_id", "target_id", x), x).select("query_id", F.col(f"r.{x}").alias(x)) for x in ("whole", "part"))
     return a.join(b, "query_id", "full_outer")
+
+
+def informative(splits: DataFrame, trials: DataFrame, k: int = 6, n_trials: int = 3) -> DataFrame:
+    """target_id, relative_id, rn, trials: the k most informative relatives with their first trial ids.
+
+    Order: uncensored, stage (none counts as -1), identity, smallest id. "Stage under the gate last" changes nothing
+    before a falling stage, so no gate is asked for. The heads of the close family and of the whole one hold every answer."""
+    m = splits.select("cluster_id", F.struct("cluster_id", "cluster70").alias("close"), "cluster70", "target_id", "censored", F.coalesce("max_stage", F.lit(-1)).alias("stage"))
+    order = [F.col("censored"), F.desc("stage"), F.col("target_id")]
+    both = [first_relatives(m, g, "target_id", order, k, ["censored", "stage", "cluster70"]).drop("rn") for g in ("close", "cluster_id")]
+    own = splits.select(F.col("target_id").alias("query"), F.col("cluster70").alias("c70"))
+    found = both[0].union(both[1]).distinct().join(own, "query").withColumn("far", F.when(F.col("cluster70") == F.col("c70"), 0).otherwise(1))
+    rn = F.row_number().over(Window.partitionBy("query").orderBy("censored", F.desc("stage"), "far", "target_id"))
+    tried = trials.groupBy("target_id").agg(F.slice(F.array_sort(F.collect_set("trial_id")), 1, n_trials).alias("trials"))
+    top = found.withColumn("rn", rn).where(F.col("rn") <= k).join(tried, "target_id", "left")
+    return top.select(F.col("query").alias("target_id"), F.col("target_id").alias("relative_id"), F.col("rn").cast("int").alias("rn"), "trials")
