@@ -48,7 +48,7 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
     ),
     "d1_cluster_split": (lambda m: splits.cluster_split(m.targets), "SELECT cluster_id, split AS split_cluster FROM greedy WHERE cluster_id IS NOT NULL"),
     "d2_splits": (lambda m: m.splits, "SELECT * FROM splits"),
-    "d4_leak_check": (lambda m: splits.leaks(m.splits), "SELECT 'cluster_id' AS key, CAST(0 AS BIGINT) AS n_leaks UNION ALL SELECT 'seq_md5', 0"),
+    "d4_leak_check": (lambda m: splits.leaks(m.splits), " UNION ALL ".join(f"SELECT '{k}' AS key, count(*) AS n_leaks FROM (SELECT {k} FROM splits WHERE {k} IS NOT NULL GROUP BY {k} HAVING min(split_cluster) <> max(split_cluster))" for k in ("cluster_id", "seq_md5"))),
     "d4_drift": (lambda m: splits.drift(m.splits), "SELECT split_cluster, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM splits), 2) AS pct FROM splits GROUP BY split_cluster"),
     "t3_relatives_top": (
         lambda m: relatives.first_relatives(m.splits.withColumn("low", F.when(F.col("max_stage") < 4, 1).otherwise(0)), "cluster_id", "target_id", [F.col("censored"), F.col("low"), F.desc_nulls_last("max_stage"), F.col("target_id")], 6, []).select(F.col("query").alias("target_id"), F.col("target_id").alias("relative_id"), "rn"),
@@ -81,7 +81,7 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
 
 CORE |= files.CORE | training.CORE
 
-_NAME = re.compile(r"\{(\w+)\}")
+_NAME = re.compile(r"\{([A-Za-z_]\w*)\}")
 
 
 def model_of(spark: SparkSession, sf_dir: str) -> Model:

@@ -80,8 +80,8 @@ SHARED = {
         SELECT gate, p, n, sum(n) OVER (PARTITION BY gate ORDER BY r) - n AS below FROM (SELECT l.gate, c.cluster_base_rate AS r, CAST(count(*) FILTER (WHERE l.label = 'cleared') AS DOUBLE) AS p, CAST(count(*) FILTER (WHERE l.label <> 'cleared') AS DOUBLE) AS n
         FROM {labels_l1} l JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE l.in_loss AND c.cluster_base_rate IS NOT NULL GROUP BY l.gate, c.cluster_base_rate)) GROUP BY gate)""",
     "m13_reliability": """SELECT bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM (SELECT c.cluster_base_rate AS p, CASE WHEN l.label = 'cleared' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS y,
-        CASE WHEN c.cluster_base_rate <= 0.1 THEN 0 WHEN c.cluster_base_rate <= 0.2 THEN 1 WHEN c.cluster_base_rate <= 0.30000000000000004 THEN 2 WHEN c.cluster_base_rate <= 0.4 THEN 3 WHEN c.cluster_base_rate <= 0.5 THEN 4
-        WHEN c.cluster_base_rate <= 0.6000000000000001 THEN 5 WHEN c.cluster_base_rate <= 0.7000000000000001 THEN 6 WHEN c.cluster_base_rate <= 0.8 THEN 7 WHEN c.cluster_base_rate <= 0.9 THEN 8 ELSE 9 END AS bin
+        CASE WHEN c.cluster_base_rate < 0.1 THEN 0 WHEN c.cluster_base_rate < 0.2 THEN 1 WHEN c.cluster_base_rate < 0.30000000000000004 THEN 2 WHEN c.cluster_base_rate < 0.4 THEN 3 WHEN c.cluster_base_rate < 0.5 THEN 4
+        WHEN c.cluster_base_rate < 0.6000000000000001 THEN 5 WHEN c.cluster_base_rate < 0.7000000000000001 THEN 6 WHEN c.cluster_base_rate < 0.8 THEN 7 WHEN c.cluster_base_rate < 0.9 THEN 8 ELSE 9 END AS bin
         FROM {labels_l1} l JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE l.in_loss AND c.cluster_base_rate IS NOT NULL) GROUP BY bin""",
     "m15_bottleneck_top1": """SELECT count(*) AS n, round(avg(CASE WHEN gate = least(max_stage, 7) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy FROM (SELECT l.target_id, l.gate, l.max_stage, row_number() OVER (PARTITION BY l.target_id ORDER BY c.cluster_base_rate, l.gate) AS rn,
         count(*) OVER (PARTITION BY l.target_id) AS k FROM {labels_l1} l JOIN {context} c ON c.target_id = l.target_id AND c.gate = l.gate WHERE c.cluster_base_rate IS NOT NULL AND NOT l.censored) WHERE rn = 1 AND k >= 2 AND max_stage < 8""",

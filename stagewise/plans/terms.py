@@ -34,14 +34,16 @@ FLAGS = {
     "refolding": r"refold|inclusion bod",
     "detergent": r"\bDDM\b|detergent|\bLDAO\b|\bOG\b solubil|\bCHAPS\b",
 }
-ACCESSION = r"^([OPQ][0-9][A-Z0-9][A-Z0-9][A-Z0-9][0-9]|[A-NR-Z][0-9][A-Z][A-Z0-9][A-Z0-9][0-9]([A-Z][A-Z0-9][A-Z0-9][0-9])?)(-[0-9]+)?$"
-STRUCTURE = r"^[1-9][A-Za-z0-9][A-Za-z0-9][A-Za-z0-9]([_.:-][A-Za-z0-9]+)?$"
+# The published forms of protein accessions (with an isoform) and of structure codes (with a chain of one to four letters).
+ACCESSION = r"^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})(?:-[0-9]+)?$"
+STRUCTURE = r"^[1-9][A-Za-z0-9]{3}(?:[_.:-][A-Za-z0-9]{1,4})?$"
 LETTERS = "ACDEFGHIKLMNPQRSTVWYBXZUO*"
 
 
 def match(engine: str, column: str, pattern: str) -> str:
+    """Spark's SQL is a template in which braces name frames, so those of a pattern are doubled there."""
     quoted = pattern.replace("'", "''")
-    return f"{column} RLIKE r'{quoted}'" if engine == "spark" else f"regexp_matches({column}, '{quoted}')"
+    return f"{column} RLIKE r'{quoted.replace('{', '{{').replace('}', '}}')}'" if engine == "spark" else f"regexp_matches({column}, '{quoted}')"
 
 
 def first_match(engine: str, column: str, patterns: dict[str, str]) -> str:
