@@ -1,34 +1,42 @@
 """Secret scan over an incremental ledger of blobs.
 
 A text is named by the SHA-256 of its bytes, so every version and copy of a file that has
-ever been seen is one blob. The ledger holds one row for each (blob, rule version) that
-was scanned, with its findings. A run hashes the given versions, takes the blobs that the
-ledger lacks for the current rule version, scans only those, appends them, and joins
-findings back to every path (row) by content address.
-
-The base kinds are fixed; the method adds two of its own, `pem` (private key blocks) and
-`jwt` (signed tokens). The rule version is a digest of all rules, so a changed rule makes
-every blob unseen again.
-
-Defined cases: null text is the empty blob; empty texts have no spans; rows with equal or
-null ids each get the findings of their own text; other columns are not looked at.
+ever been seen is one blob. The ledger is a table in a shared folder with one row for each (blob, rule version) that was
+scanned and its findings. A run hashes the given versions, takes the blobs that the ledger lacks for the current rule
+version, scans only those, appends them, reads the ledger back, and joins findings to every path (row) by content address.
+
+The folder is the setting `stagewise.secrets.ledger` of the session, which later runs then build on; without it each call
+keeps its own in the folder of spark.checkpoint.dir and scans everything once. Two writers may append one blob twice: readers
+take one row for each blob.
+
+The base kinds are fixed; the method adds two of its own, `pem` (private key blocks: to the END line, or without one to the
+end of what looks like a key's body) and `jwt` (signed tokens). The rule version is a digest of all rules, so a changed rule
+makes every blob unseen again.
+
+Defined cases: null text is the empty blob; empty texts have no spans and very long ones are scanned whole; rows with equal or
+null ids, and repeated rows, each get the findings of their own text; findings that start alike are ordered by kind; an empty
+table gives an empty result and an empty ledger; other columns pass through unread, but the two that a function adds replace
+columns of these names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stagewise.llm.common import ensure_checkpoint_dir
+
 # Kind, pattern, least length, group that the length counts for.
 RULES = (
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
     ("access", r"AKIA[A-Z0-9]+", 18, 0),
     ("hex", r"[0-9a-f]{16,}", 16, 0),
-    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", 0, 0),
+    ("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s+(?:[A-Za-z-]+: \S+|[A-Za-z0-9+/]{20,}={0,2}))*(?:\s+[A-Za-z0-9+/]+={1,2}(?!\S)|\s+[A-Za-z0-9+/]{1,80}\s*\Z)?)", 0, 0),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 0),
 )
 BASE = 3  # the first rules are the base
@@ -69,47 +77,69 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows that the ledger lacks: one for each blob of docs that it has not for this rule version."""
-    blobs = docs.groupBy(_blob(text_col).alias("blob")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    rows = docs.select(_blob(text_col).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
-    return scan_blobs(blobs, rules)
+        rows = rows.join(ledger.where(F.col("rule_version") == rule_version(rules)).select("blob"), "blob", "left_anti")
+    return scan_blobs(rows.groupBy("blob").agg(F.first("text").alias("text")), rules)
+
 
+def ledger_folder(spark: SparkSession) -> str:
+    """The session's ledger, or a new one in the shared folder."""
+    ensure_checkpoint_dir(spark)
+    return spark.conf.get("stagewise.secrets.ledger", None) or f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/ledger-{uuid.uuid4().hex}"
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
-    """docs with blob and spans (array of kind, start, end): scans what the ledger lacks."""
-    new = update_ledger(docs, ledger, text_col, rules)
-    known = new if ledger is None else new.unionByName(ledger.where(F.col("rule_version") == rule_version(rules)).select(*new.columns))
-    named = docs.withColumn("blob", _blob(text_col))
-    return named.join(known.select("blob", "spans"), "blob")
 
+def record(docs: DataFrame, folder: str, text_col: str = "text", rules=RULES) -> DataFrame:
+    """Appends to the ledger what it lacks, and reads it: blob and spans of the rule version, one row for each blob."""
+    spark = docs.sparkSession
+    spark.createDataFrame([], LEDGER).write.mode("append").parquet(folder)  # makes the folder, if there is none
+    seen = spark.read.schema(LEDGER).parquet(folder)
+    update_ledger(docs, seen, text_col, rules).write.mode("append").parquet(folder)
+    known = spark.read.schema(LEDGER).parquet(folder).where(F.col("rule_version") == rule_version(rules))
+    return known.groupBy("blob").agg(F.first("spans").alias("spans"))
 
-def redact(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+
+def findings(docs: DataFrame, folder: str | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
+    """docs with blob and spans (array of kind, start, end): scans what the ledger in the folder lacks."""
+    known = record(docs, folder or ledger_folder(docs.sparkSession), text_col, rules)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _blob(text_col).alias("blob")).join(known, "blob")
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("blob", "spans")), "blob", "spans")
+
+
+def redact(docs: DataFrame, folder: str | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
     """docs with each span of text_col replaced by <kind>; overlapping spans are merged, the first kind named. Other columns stay."""
     names = [r[0] for r in rules]
+    known = record(docs, folder or ledger_folder(docs.sparkSession), text_col, rules).where(F.size("spans") > 0)
 
     def run(batches):
-        compiled = [(re.compile(p, re.ASCII), least, group) for _, p, least, group in rules]
         for b in batches:
             out = []
-            for t in b.column(1):
-                t, at, parts = t.as_py() or "", 0, []
-                for k, s, e in scan_text(t, compiled):
-                    if s >= at:
-                        parts += [t[at:s], f"<{names[k]}>"]
-                    at = max(at, e)
-                out.append("".join([*parts, t[at:]]) if parts else None)
-            yield pa.record_batch([b.column(0), pa.array(out, pa.string())], names=["blob", "clean"])
-
-    blobs = docs.groupBy(_blob(text_col).alias("blob")).agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    changed = blobs.mapInArrow(run, "blob string, clean string").where("clean IS NOT NULL")
-    named = docs.withColumn("blob", _blob(text_col)).join(changed, "blob", "left")
-    return named.withColumn(text_col, F.coalesce("clean", F.col(text_col))).select(*docs.columns)
-
-
-def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
+            for t, spans in zip(b.column(b.num_columns - 2), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if not spans:
+                    out.append(t.as_py())
+                    continue
+                t, at, parts = t.as_py(), 0, []
+                for x in spans:
+                    if x["start"] >= at:
+                        parts += [t[at : x["start"]], f"<{names[x['kind']]}>"]
+                    at = max(at, x["end"])
+                out.append("".join([*parts, t[at:]]))
+            yield pa.record_batch([*b.columns[:-2], pa.array(out, pa.string())], names=[*places, "t"])
+
+    others = [c for c in docs.columns if c != text_col]
+    places = [f"c{i}" for i in range(len(others))]
+    rows = docs.select(*(F.col(c).alias(p) for c, p in zip(others, places, strict=True)), F.col(text_col).alias("t"), _blob(text_col).alias("blob"))
+    # only blobs with findings travel, so this side is small unless secrets are everywhere
+    rows = rows.join(known, "blob", "left").select(*places, "t", "spans")
+    clean = rows.mapInArrow(run, rows.drop("spans").schema)
+    back = dict(zip(others, places, strict=True)) | {text_col: "t"}
+    return clean.select(*(F.col(back[c]).alias(c) for c in docs.columns))
+
+
+def op3_secret_scan(spark, sf_dir: str, folder: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ledger = update_ledger(docs)
-    out = docs.select("doc_id", _blob("text").alias("blob")).join(ledger.select("blob", "spans"), "blob")
+    known = record(docs, folder or ledger_folder(spark))
+    out = docs.select("doc_id", _blob("text").alias("blob")).join(known, "blob")
     names = F.array(*(F.lit(r[0]) for r in RULES))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
