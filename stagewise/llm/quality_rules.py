@@ -3,17 +3,19 @@
 Two kinds of rule decide on a document. Base rules look at it alone: too few words, or
 too many words in repeated 3-word windows. The line rule looks across documents: lines
 are normalised (lower case, digits to 0, white space to one space) and hashed, and for
-each host (source) the distinct documents that hold a line are counted, copies of one text once. A
+each host (source) the distinct documents that hold a line are counted. A
 line above the limit, `max(min_docs, share * documents of the host)`, is boilerplate and
 is removed; a document that keeps less than `least_kept` of its words is depleted and is
-rejected.
+rejected. A document is an id with its text: copies under several ids are several documents, a row that is
+repeated in whole counts once.
 
-Counts are aggregates of one row for each document and line, combined before the shuffle;
-only lines above their limit are joined back.
+Texts are named by their hash, so the lines of many copies are counted by one row for each distinct text and line, weighted by
+the text's documents; counts are combined before the shuffle, and only lines above their limit are joined back.
 
-Defined cases: null text has no words and fails; a null source is a host of its own;
-documents with equal ids are separate rows here and get the verdict of their own text;
-an empty table gives an empty result; other columns are not looked at.
+Defined cases: null text has no words and fails; a null source is a host of its own; rows with equal or null ids are separate
+rows here and get the verdict of their own text, but count as one document if their texts agree too; a count equal to its limit
+is not above it; texts of any length are compared by their words, not by hashes alone; an empty table gives an empty
+result; other columns are not looked at, and pass through `keep_good` whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +41,8 @@ def n_repeat_words(words: Column) -> Column:
     """Words that lie in a 3-word window found at least twice.
 
     Each window becomes one long, its hash with the low bits replaced by its position; sorted, equal windows
-    are neighbours, and the positions left after that test are merged."""
+    are neighbours. Those that have such a neighbour are sorted once more, by their words, and only neighbours of equal
+    words count; their positions are merged."""
 
     def packed(w):
         n = F.size(w)
@@ -49,15 +52,22 @@ def n_repeat_words(words: Column) -> Column:
             h = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
             return F.transform(F.sequence(F.lit(0), n - 3), lambda i: _let(h(i), lambda x: x - F.pmod(x, p) + i))
 
-        def covered(s, p):
+        def alike(s, p):  # positions that may repeat
             top = lambda x: x - F.pmod(x, p)
             at = F.filter(s, lambda x, k: (top(x) == top(F.get(s, k - 1))) | (top(x) == top(F.get(s, k + 1))))
-            at = F.array_sort(F.transform(at, lambda x: F.pmod(x, p)))
+            return F.transform(at, lambda x: F.pmod(x, p).cast("int"))
+
+        def covered(s):  # windows in the order of their words
+            same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
+            at = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
+            at = F.array_sort(F.transform(at, lambda x: x["i"].cast("long")))
             start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
             step_ = lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"))
             return F.aggregate(at, start, step_, lambda acc: acc["n"])
 
-        return _let(step, lambda p: _let(F.array_sort(one(p)), lambda s: covered(s, p)))
+        window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
+        by_words = lambda at: F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(_let(F.array_sort(F.transform(at, window)), covered))
+        return _let(step, lambda p: _let(F.array_sort(one(p)), lambda s: _let(alike(s, p), by_words)))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(words, packed))
 
@@ -90,7 +100,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         n_repeat_words(F.col("w")).alias("n_repeat_words"), *(f"c_{c}" for c in carry),
     )
     base = base.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    removed = removed_words(docs, text_col, host_col, min_docs, share)
+    removed = removed_words(docs, id_col, text_col, host_col, min_docs, share)
     out = base.join(removed, (base.content == removed.r_content) & base.host.eqNullSafe(removed.r_host), "left")
     depleted = F.coalesce(F.col("n_line_words"), F.lit(0)) > (1 - least_kept) * F.col("n_words")
     return out.select(
@@ -112,22 +122,25 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
-def removed_words(docs: DataFrame, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
+def removed_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
     """(r_content, r_host, n_line_words, r_lines) of each distinct text of a host that has lines above their limit."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.split(_normal(text), "\n")).alias("line"))
     rows = rows.select("host", "content", F.trim("line").alias("line")).where(F.col("line") != "")
     rows = rows.select("host", "content", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
-    # copies of one text within a host count once; a line's words within a text are summed over its repeats
-    copies = docs.groupBy(F.col(host_col).alias("host"), F.xxhash64(text).alias("content")).agg(F.count(F.lit(1)).alias("copies"))
+    # a text's rows and documents within a host; a line's words within a text are summed over its repeats and the text's rows
+    copies = docs.groupBy(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
+    copies = copies.groupBy("host", "content").agg(F.sum("rows").alias("copies"), F.count(F.lit(1)).alias("documents"))
     held = rows.groupBy("host", "content", "line").agg(F.sum("words").alias("words"))
-    limits = copies.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.count(F.lit(1))).alias("most"))
-    common = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"))
-    # (the second test holds always: it makes this side read the exchange of held that hit reads too)
-    common = common.where((F.col("n") > min_docs) & (F.col("words") > 0)).drop("words")
+    limits = copies.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.sum("documents")).alias("most"))
+    of = copies.select(F.col("host").alias("k_host"), F.col("content").alias("k_content"), "copies", "documents")
+    # texts of one document each are counted without a join: few have more
+    several = of.where("documents > 1")
+    more = held.join(several, (held.content == F.col("k_content")) & held.host.eqNullSafe(F.col("k_host"))).select("host", "line", (F.col("documents") - 1).alias("n"))
+    common = held.select("host", "line", F.lit(1).cast("long").alias("n")).union(more).groupBy("host", "line").agg(F.sum("n").alias("n")).where(F.col("n") > min_docs)
     common = common.join(limits, common.host.eqNullSafe(limits.host)).where(F.col("n") > F.col("most")).select(common.host.alias("c_host"), F.col("line").alias("c_line"))
     hit = held.join(common, held.host.eqNullSafe(F.col("c_host")) & (held.line == F.col("c_line")))
-    hit = hit.groupBy("host", "content").agg(F.sum("words").alias("words"), F.collect_set("line").alias("r_lines")).join(copies.withColumnsRenamed({"host": "k_host", "content": "k_content"}), (F.col("content") == F.col("k_content")) & F.col("host").eqNullSafe(F.col("k_host")))
+    hit = hit.groupBy("host", "content").agg(F.sum("words").alias("words"), F.collect_set("line").alias("r_lines")).join(of, (F.col("content") == F.col("k_content")) & F.col("host").eqNullSafe(F.col("k_host")))
     return hit.select(F.col("content").alias("r_content"), F.col("host").alias("r_host"), F.expr("words div copies").alias("n_line_words"), "r_lines")
 
 
@@ -147,16 +160,16 @@ WITH base AS (
 ), covered AS (
   SELECT rid, count(DISTINCT i + d) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS d) GROUP BY rid
 ), lines AS (
-  SELECT rid, host, text, line FROM base, LATERAL unnest(string_split(text, chr(10))) AS t(line)
+  SELECT rid, doc_id, host, text, line FROM base, LATERAL unnest(string_split(text, chr(10))) AS t(line)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid
 ), normal AS (
-  SELECT rid, host, text, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS line,
+  SELECT rid, doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g')) AS line,
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words FROM lines
 ), common AS (
-  SELECT n.host, n.line FROM (SELECT host, line, count(DISTINCT text) AS n FROM normal GROUP BY ALL) n
-  JOIN (SELECT host, count(DISTINCT text) AS docs FROM base GROUP BY host) h ON n.host IS NOT DISTINCT FROM h.host
+  SELECT n.host, n.line FROM (SELECT host, line, count(DISTINCT (doc_id, text)) AS n FROM normal GROUP BY ALL) n
+  JOIN (SELECT host, count(DISTINCT (doc_id, text)) AS docs FROM base GROUP BY host) h ON n.host IS NOT DISTINCT FROM h.host
   WHERE n.n > greatest(10, 0.1 * h.docs)
 ), gone AS (
   SELECT rid, sum(words) AS n FROM normal n JOIN common c ON n.host IS NOT DISTINCT FROM c.host AND n.line = c.line GROUP BY rid
