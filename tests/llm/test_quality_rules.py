@@ -34,14 +34,15 @@ def test_line_rule(spark):
     def doc(i, n):
         return "\n".join(["Cookie   notice 12: accept all of this " * 6] + [f"{letters(1000 * i + k)} text of its own" for k in range(n)])
 
-    rows = [(doc(i, 30), i, "h") for i in range(40)] + [(doc(40, 6), 40, "h")] + [("\n".join(f"line {letters(k)} of the copy" for k in range(20)), 50 + k, "h") for k in range(30)]
+    copy = "\n".join(" ".join(letters(k) + x for x in ("line", "of", "the", "copy")) for k in range(20))
+    rows = [(doc(i, 30), i, "h") for i in range(40)] + [(doc(40, 6), 40, "h")] + [(copy, 50 + k, "h") for k in range(30)]
     got = {r.doc_id: r for r in Q.line_rules(spark.createDataFrame(rows, "text string, doc_id long, source string")).collect()}
     assert all(got[i].n_line_words == 42 for i in range(41))
     assert got[40].n_words == 72 and not got[40].kept
     assert got[40].n_line_words > 0.5 * got[40].n_words
     # a text that 30 documents copy is boilerplate of the host like any other; one document repeated is not
-    assert all(got[50 + k].n_line_words == 100 and not got[50 + k].kept for k in range(30))
-    again = [("\n".join(f"line {letters(k)} of the copy" for k in range(20)), 7, "h")] * 30 + [(doc(i, 30), i, "h") for i in range(10, 30)]
+    assert all(got[50 + k].n_line_words == 80 and not got[50 + k].kept for k in range(30))
+    again = [(copy, 7, "h")] * 30 + [(doc(i, 30), i, "h") for i in range(10, 30)]
     got = Q.line_rules(spark.createDataFrame(again, "text string, doc_id long, source string")).where("doc_id = 7").collect()
     assert len(got) == 30 and all(r.n_line_words == 0 and r.kept for r in got)
 
