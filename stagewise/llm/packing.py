@@ -1,9 +1,9 @@
 """Best-fit packing by a grouping genetic algorithm on islands.
 
 A document is its token ids and an end mark, cut into pieces of `size` tokens (the first
-piece takes the rest). Full pieces fill a sequence each. All others are dealt by a hash
-into shards of about `shard_items` pieces; each shard is one packing problem, and only
-its piece lengths travel, since pieces of one length can stand for each other.
+piece takes the rest). Full pieces fill a sequence each. All others are dealt out
+into shards of about `shard_items` pieces; each shard is one packing problem, and only the count of
+its pieces of each length travels, since pieces of one length can stand for each other.
 
 `islands` islands evolve a population for each shard. A chromosome is a set of bins. The
 crossover injects the well-filled bins of one parent whole into the other, drops the
@@ -11,10 +11,16 @@ other's bins that use pieces already placed, and puts the displaced pieces back
 first, each into the fullest bin that holds it. After an epoch each island's best
 chromosome migrates to the next island. The best of all islands decides; bins of it that
 stay below `keep_fill` are dissolved, and their pieces from all shards are dealt out and
-packed once more.
+packed once more, in shards four and then sixteen times as large. Rounds end with the one that has a single shard, or when a
+round of the largest shards left over 9 in 10 of its pieces: what is left then doesn't pair.
 
-Defined cases: null and empty texts are the end mark alone; equal and null ids are
-separate documents; an empty table packs to nothing; other columns stay out.
+Pieces may carry a `position` in training, from 0 to 1. Shards are then ranges of it (a range with too many pieces is dealt out
+by row), so a sequence holds documents of one stretch of the curriculum, and the column becomes the sequence's position, the
+smallest of its pieces: ordered by it, the sequences follow the curriculum, but for the few made of dissolved bins.
+
+Defined cases: null and empty texts are the end mark alone; texts of any length are encoded whole; equal and null ids and
+repeated rows are separate documents, dealt by row and not by content; pieces of one length are placed by id; an empty table
+packs to nothing; other columns stay out.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stagewise.llm.common import cut
@@ -63,24 +69,29 @@ class Encoder:
         return self.slow.encode(text, add_special_tokens=False).ids
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, json_path: str | None = None, rank_path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every piece."""
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 2, json_path: str | None = None, rank_path: str | None = None, position_col: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 of every piece, and with position_col its document's position."""
 
     def run(batches):
         encode = Encoder(json_path, rank_path)
         for b in batches:
-            out = [[] for _ in range(5)]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            out, row = [[] for _ in range(5)], []
+            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1), strict=True)):
                 ids = np.array([*encode(text.as_py() or ""), end_id], "<u4")
                 start, k = 0, 0
                 while start < len(ids):
                     n = (len(ids) - start) % size or size
                     for col, x in zip(out, (doc, k, start, n, zlib.crc32(ids[start : start + n].tobytes())), strict=True):
                         col.append(x)
+                    row.append(i)
                     start, k = start + n, k + 1
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            made = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            more = [c.take(pa.array(row, pa.int64())) for c in b.columns[2:]]
+            yield pa.record_batch([*made, *more], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["position"] if more else [])])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
+    more = [F.col(position_col).cast("double").alias("position")] if position_col else []
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *more)
+    return rows.mapInArrow(run, PIECE + (", position double" if more else ""))
 
 
 class Bins:
@@ -199,29 +210,31 @@ def _unflat(flat) -> list[list[int]]:
 
 
 def _epoch(state: DataFrame, size: int, population: int, generations: int, epoch: int) -> DataFrame:
-    """state: shard, island, sizes, best, migrant (bins, each ended by a 0)."""
+    """state: shard, island, counts (length, pieces), best, migrant (bins, each ended by a 0)."""
 
     def run(batches):
         for b in batches:
             rows = []
             for x in b.to_pylist():
                 start = [_unflat(c) for c in (x["best"], x["migrant"]) if c]
-                rows.append(_flat(evolve(x["sizes"], start, size, population, generations, x["shard"] * 1000003 + x["island"] * 101 + epoch)))
-            yield pa.record_batch([b.column("shard"), b.column("island"), b.column("sizes"), pa.array(rows, pa.list_(pa.int32()))], names=["shard", "island", "sizes", "best"])
+                sizes = [c["length"] for c in x["counts"] for _ in range(c["n"])]
+                rows.append(_flat(evolve(sizes, start, size, population, generations, x["shard"] * 1000003 + x["island"] * 101 + epoch)))
+            yield pa.record_batch([b.column("shard"), b.column("island"), b.column("counts"), pa.array(rows, pa.list_(pa.int32()))], names=["shard", "island", "counts", "best"])
 
-    return state.select("shard", "island", "sizes", "best", "migrant").mapInArrow(run, "shard int, island int, sizes array<int>, best array<int>")
+    return state.select("shard", "island", "counts", "best", "migrant").mapInArrow(run, "shard int, island int, counts array<struct<length:int,n:int>>, best array<int>")
 
 
 def _best_bins(items: DataFrame, spread: bool, size: int, islands: int, epochs: int, population: int, generations: int) -> DataFrame:
     """(shard, bins): the best chromosome of the islands of each shard."""
     none = F.array().cast("array<int>")
-    shards = items.groupBy("shard").agg(F.array_sort(F.collect_list(F.col("length").cast("int"))).alias("sizes"))
-    state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "sizes", none.alias("best"), none.alias("migrant"))
+    counts = items.groupBy("shard", F.col("length").cast("int").alias("length")).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    shards = counts.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("length", "n"))).alias("counts"))
+    state = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "counts", none.alias("best"), none.alias("migrant"))
     for epoch in range(epochs):
         if epoch:  # the elite of each island goes to the next one
-            ring = state.groupBy("shard").agg(F.first("sizes").alias("sizes"), F.array_sort(F.collect_list(F.struct("island", "best"))).alias("elite"))
-            state = ring.select("shard", "sizes", "elite", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-            state = state.select("shard", "island", "sizes", F.get("elite", F.col("island"))["best"].alias("best"), F.get("elite", F.pmod(F.col("island") - 1, F.lit(islands)))["best"].alias("migrant"))
+            ring = state.groupBy("shard").agg(F.first("counts").alias("counts"), F.array_sort(F.collect_list(F.struct("island", "best"))).alias("elite"))
+            state = ring.select("shard", "counts", "elite", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
+            state = state.select("shard", "island", "counts", F.get("elite", F.col("island"))["best"].alias("best"), F.get("elite", F.pmod(F.col("island") - 1, F.lit(islands)))["best"].alias("migrant"))
         state = _epoch(state.repartition("shard", "island") if spread else state, size, population, generations, epoch)
     bins = F.size(F.filter("best", lambda x: x == 0))
     return state.groupBy("shard").agg(F.min_by("best", F.struct(bins, F.col("island"))).alias("bins"))
@@ -230,7 +243,7 @@ def _best_bins(items: DataFrame, spread: bool, size: int, islands: int, epochs:
 def _placer(columns: list[str], size: int, keep_fill: float, level: int, last: bool):
     def place(key, rows, best):
         shard = key[0].as_py()
-        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+        rows = rows.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32", "row")])
         length = rows["length"].to_numpy()
         at = np.searchsorted(length, np.arange(size + 2)).tolist()  # the next piece of each length
         sequence, offset = np.full(len(length), -1), np.zeros(len(length), np.int64)
@@ -240,32 +253,56 @@ def _placer(columns: list[str], size: int, keep_fill: float, level: int, last: b
                 for x in g:
                     sequence[at[x]], offset[at[x]] = (level << 54) | (shard << 22) | k, o
                     at[x], o = at[x] + 1, o + x
-        return pa.table([*(rows[c] for c in columns), pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
+        out = [rows[c] for c in columns]
+        if "position" in columns:  # of the sequence, its smallest
+            p = rows["position"].to_numpy().copy()
+            names, inverse = np.unique(sequence, return_inverse=True)
+            least = np.full(len(names), np.inf)
+            np.fmin.at(least, inverse, p)
+            out[columns.index("position")] = pa.array(np.where(sequence >= 0, least[inverse], p))
+        return pa.table([*out, pa.array(sequence), pa.array(offset)], names=[*columns, "sequence_id", "offset"])
 
     return place
 
 
-def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.95) -> DataFrame:
-    """parts (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
-    parts = cut(parts)
+def _dealt(pool: DataFrame, shards: int, per_shard: int, level: int) -> DataFrame:
+    """pool with its shard: by row, or with a position by its range and, where a range holds too many, by row within it."""
+    by_row = lambda n: F.pmod(F.xxhash64("row", F.lit(level)), n).cast("int")
+    if shards == 1:
+        return pool.withColumn("shard", F.lit(0))
+    if "position" not in pool.columns:
+        return pool.withColumn("shard", by_row(F.lit(shards)))
+    cell = F.least(F.lit(shards - 1), F.greatest(F.lit(0), F.floor(F.coalesce("position", F.lit(1.0)) * shards))).cast("int")
+    pool = pool.withColumn("cell", cell)
+    split = pool.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (2 * per_shard)).cast("int").alias("split"))
+    first = Window.partitionBy().orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
+    split = split.withColumn("first", F.coalesce(F.sum("split").over(first), F.lit(0)).cast("int"))
+    return pool.join(split, "cell").withColumn("shard", F.col("first") + by_row(F.col("split"))).drop("cell", "split", "first")
+
+
+def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.995) -> DataFrame:
+    """parts (doc_id, piece, start, length, ids_crc32, maybe position) with sequence_id and offset."""
     columns = parts.columns
+    parts = cut(parts.withColumn("row", F.monotonically_increasing_id()))
     full = parts.where(F.col("length") == size)
     pool = parts.where(F.col("length") < size)
-    n, done, level = pool.count(), [], 0
+    n, done, level, before = pool.count(), [], 0, 0
     while n:
-        shards = math.ceil(n / shard_items)
-        items = pool.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards)).cast("int"))
-        last = shards == 1 or level == 1
-        if shards == 1:  # at most shard_items rows
+        per_shard = shard_items * 4 ** min(level, 2)
+        shards = math.ceil(n / per_shard)
+        items = _dealt(pool, shards, per_shard, level)
+        last = shards == 1 or level > 2 and n > 0.9 * before
+        if shards == 1:  # at most per_shard rows
             items = items.coalesce(1)
         bins = _best_bins(items, shards > 1, size, islands, epochs, population, generations)
         # the dissolved bins' pieces are those that nothing was assigned to
-        placed = cut(items.groupBy("shard").cogroup(bins.groupBy("shard")).applyInArrow(_placer(columns, size, keep_fill, level, last), f"{PIECE}, sequence_id long, offset long"))
-        done.append(placed.where("sequence_id >= 0"))
-        pool = placed.where("sequence_id < 0").select(*columns)
-        n, level = (0 if last else pool.count()), level + 1
+        schema = f"{PIECE}{', position double' if 'position' in columns else ''}, row long, sequence_id long, offset long"
+        placed = cut(items.groupBy("shard").cogroup(bins.groupBy("shard")).applyInArrow(_placer([*columns, "row"], size, keep_fill, level, last), schema))
+        done.append(placed.where("sequence_id >= 0").drop("row"))
+        pool = placed.where("sequence_id < 0").drop("sequence_id", "offset")
+        n, level, before = (0 if last else pool.count()), level + 1, n
     # full pieces: sequences of their own, numbered after all levels
-    out = full.select(*columns, (F.lit(1 << 61) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = full.select(*columns, (F.lit(1 << 61) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for d in done:
         out = out.unionByName(d)
     return out

@@ -70,3 +70,52 @@ def test_crossover_keeps_all_pieces():
             assert all(sum(g) <= 1024 for g in c)
     best = P.evolve(sizes, [], 1024, 6, 10, 0)
     assert len(best) <= len(P.pack(sorted(sizes, reverse=True), 1024))
+
+
+def test_equal_rows_are_dealt_out(spark):
+    """A third of all rows are alike: no shard takes them all."""
+    parts = spark.createDataFrame([(7, 0, 0, 300, 1)] * 300 + [(i, 0, 0, 300 + i % 500, i) for i in range(600)], P.PIECE)
+    n = parts.withColumn("row", P.F.monotonically_increasing_id())
+    sizes = [r["count"] for r in P._dealt(n, 9, 100, 0).groupBy("shard").count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 160
+    check_bins(P.pack_pieces(parts, shard_items=100).collect(), 900)
+
+
+def check_bins(rows, n, size=1024):
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in by.values():
+        at = 0
+        for o, k in sorted(x):
+            assert o == at
+            at += k
+        assert at <= size
+    assert len(rows) == n
+    return by
+
+
+def test_positions_reach_the_sequences(spark):
+    r = random.Random(2)
+    rows = [(i, 0, 0, r.choice([1024, r.randrange(1, 1024)]), i, i / 2000) for i in range(2000)]
+    rows += [(5000 + i, 0, 0, 200, i, 0.25) for i in range(700)] + [(9000, 0, 0, 5, 0, None)]
+    parts = spark.createDataFrame(rows, P.PIECE + ", position double")
+    got = P.pack_pieces(parts, shard_items=200).collect()
+    by = check_bins(got, len(rows))
+    assert len(by) <= 1.03 * math.ceil(sum(x[3] for x in rows) / 1024) + 1
+    own = {x[0]: x[5] for x in rows}
+    least = {}
+    for x in got:
+        if own[x.doc_id] is not None:
+            least[x.sequence_id] = min(least.get(x.sequence_id, 2), own[x.doc_id])
+    assert all(x.position == least.get(x.sequence_id, x.position) for x in got)
+    near = [abs(own[x.doc_id] - x.position) < 0.15 for x in got if own[x.doc_id] is not None]
+    assert sum(near) > 0.8 * len(near)
+
+
+def test_random_texts_encode_as_the_vocabulary_says():
+    r, t, e = random.Random(9), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), P.Encoder(None, None)
+    letters = "abcdefgh ABC  \n\t0123456789'\".,;!?-_()éüßñçœĀŁž<|>$€…日本語я👍\u00a0\u200b\r"
+    for _ in range(6000):
+        x = "".join(r.choice(letters[:60] if r.random() < 0.7 else letters) for _ in range(r.randrange(1, 60)))
+        assert list(e(x)) == t.encode(x, add_special_tokens=False).ids, repr(x)
