@@ -280,7 +280,7 @@ def _dealt(pool: DataFrame, shards: int, per_shard: int, level: int) -> DataFram
     return pool.join(split, "cell").withColumn("shard", F.col("first") + by_row(F.col("split"))).drop("cell", "split", "first")
 
 
-def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 4, generations: int = 4, keep_fill: float = 0.995) -> DataFrame:
+def pack_pieces(parts: DataFrame, size: int = 1024, shard_items: int = 4096, islands: int = 3, epochs: int = 2, population: int = 6, generations: int = 8, keep_fill: float = 0.995) -> DataFrame:
     """parts (doc_id, piece, start, length, ids_crc32, maybe position) with sequence_id and offset."""
     columns = parts.columns
     parts = cut(parts.withColumn("row", F.monotonically_increasing_id()))
