@@ -1,15 +1,16 @@
-"""Near-dedup by the Jaccard similarity of sets of word shingles.
+"""Near-dedup by SimHash, verified on sets of word shingles.
 
-MinHash bands find candidates: `bands` values of `rows` minima each, so a pair of similarity s meets with
-probability 1 - (1 - s^rows)^bands (0.99994 at 0.8, 0.02 at 0.3). Each band's bucket is a star around its smallest
-set, so a hot bucket gives fewer rows than it has sets; the components of these stars hold every candidate pair.
+Fingerprints of many words and the generalised pigeonhole search of `simhash` find candidates: a pair at the least similarity meets
+in some group of bits with probability `recall`, more similar pairs with more, and only pairs whose first two words (kept out of the
+groups) differ in few bits are linked. The components of these links hold every candidate pair.
 Within a component all pairs are compared on the whole shingle sets, and only pairs at `least` or more are
 linked; the links' components are the groups. A component over `limit` sets or `volume` shingles is dealt out over
 pairs of chunks: exact, but its work is quadratic in the component.
 
 Defined cases: shingles are compared by their 64-bit hashes; texts with equal sets are one group, null and empty ones
-too; a text under `shingle` words is one shingle. Rows count one by one, whatever their ids: of each group exactly
-one row stays, that with the smallest id (a missing id is larger than any), then the smallest row hash; of equal rows any one.
+too; a text under `shingle` words is one shingle; texts of any length count whole. Rows count one by one, whatever their ids: of
+each group exactly one row stays, that with the smallest id (a missing id is larger than any), then the smallest row hash; of equal
+rows any one. A pair at exactly the least similarity is linked. An empty table stays empty; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import cut, mix64
+from stagewise.llm.common import cut
 from stagewise.llm.components import connected_components
-from stagewise.llm.simhash import shingle_hashes
+from stagewise.llm.simhash import Near, differing, likely_plan, majorities, search, shape, shingle_hashes, words_sample
 
 KEY = ["_k1", "_k2"]
 
@@ -30,26 +31,6 @@ def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes(text or b"", shingle))
 
 
-class Bands:
-    def __init__(self, bands: int, rows: int) -> None:
-        r = np.random.default_rng(7)
-        self.shape = (bands, rows)
-        self.flip = r.integers(0, 1 << 64, (bands * rows, 1), np.uint64)
-        self.times = r.integers(0, 1 << 64, (bands * rows, 1), np.uint64) | np.uint64(1)
-
-    def __call__(self, s: np.ndarray) -> np.ndarray:
-        low = np.full(len(self.flip), (1 << 64) - 1, np.uint64)
-        for k in range(0, len(s), 1024):
-            x = s[k : k + 1024] ^ self.flip
-            x *= self.times
-            np.minimum(low, x.min(1), out=low)
-        low = low.reshape(self.shape)
-        out = np.arange(1, self.shape[0] + 1, dtype=np.uint64)
-        for j in range(self.shape[1]):
-            out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
-        return out
-
-
 def set_key(s: np.ndarray) -> int:
     """One 64-bit name of a set of hashes."""
     import xxhash
@@ -61,20 +42,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_k1", F.xxhash64(*docs.columns)).withColumn("_k2", F.xxhash64(F.lit(1), *docs.columns))
 
 
-def signatures(rows: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, n: int) -> DataFrame:
-    """_k1, _k2, doc_id, node (the set's name), size, bands of every row."""
+def signatures(rows: DataFrame, id_col: str, text_col: str, shingle: int, n: int) -> DataFrame:
+    """_k1, _k2, doc_id, node (the set's name), size, words (n * 64 bits of its fingerprint) of every row."""
 
     def run(batches):
-        band = Bands(bands, n)
         for b in batches:
-            node, size, values = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), []
+            node, size, words = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.int64), np.zeros((b.num_rows, n), np.uint64)
             for i, x in enumerate(b.column(3).cast(pa.binary())):
                 s = shingle_set(x.as_py(), shingle)
-                node[i], size[i] = set_key(s), len(s)
-                values.append(band(s).view(np.int64) if len(s) else [])
-            yield pa.record_batch([*b.columns[:3], pa.array(node.view(np.int64)), pa.array(size), pa.array(values, pa.list_(pa.int64()))], names=[*KEY, "doc_id", "node", "size", "bands"])
+                node[i], size[i], words[i] = set_key(s), len(s), majorities(s, n)
+            yield pa.record_batch([*b.columns[:3], pa.array(node.view(np.int64)), pa.array(size), pa.array(list(words.view(np.int64)), pa.list_(pa.int64()))], names=[*KEY, "doc_id", "node", "size", "words"])
+
+    return rows.select(*KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "_k1 long, _k2 long, doc_id long, node long, size long, words array<long>")
+
 
-    return rows.select(*KEY, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "_k1 long, _k2 long, doc_id long, node long, size long, bands array<long>")
+def candidates(nodes: DataFrame, total: int, m: int, n: int, least: float, recall: float, plan_sample: int = 1024) -> DataFrame:
+    """(node, component) of the sets that have a candidate. nodes: node, words (2 that only verify, and n in groups of 64 / m bits)."""
+    points = nodes.select(F.lit(0).cast("long").alias("least"), F.col("node").alias("id"), F.col("words")[0].alias("fp"), F.col("words")[1].alias("fp2"), F.slice("words", 3, F.size("words") - 2).alias("words"))
+    parts = likely_plan(words_sample(points, plan_sample, n), total, m, least, recall)
+    d = differing(least)
+    bits = lambda n, z: int(n * d + z * (n * d * (1 - d)) ** 0.5)
+    return connected_components(search(points, parts, Near(bits(64, 4), bits(128, 3.5))).select("a", "b"))
 
 
 def exact_links(sets: list[np.ndarray], least: tuple[int, int] = (4, 5)) -> list[tuple[int, int]]:
@@ -101,12 +89,12 @@ def exact_links(sets: list[np.ndarray], least: tuple[int, int] = (4, 5)) -> list
     return out
 
 
-def verified(cells: DataFrame) -> DataFrame:
+def verified(cells: DataFrame, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """(a, b): links of the sets of each cell. cells: component, c, d, node, shingles."""
 
     def settle(group):
         sets = [np.frombuffer(x, np.uint64) for _, x in group]
-        return [(group[i][0], group[j][0]) for i, j in exact_links(sets)] if len(sets) > 1 else []
+        return [(group[i][0], group[j][0]) for i, j in exact_links(sets, least)] if len(sets) > 1 else []
 
     def run(batches):
         held, key = [], None
@@ -125,16 +113,19 @@ def verified(cells: DataFrame) -> DataFrame:
     return rows.repartition("component", "c", "d").sortWithinPartitions("component", "c", "d", "node").mapInArrow(run, "a long, b long")
 
 
-def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bands: int = 32, n: int = 6, limit: int = 256, volume: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
+def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: tuple[int, int] = (4, 5), recall: float = 0.99, limit: int = 256, volume: int = 1 << 19, salts: int = 32) -> tuple[DataFrame, DataFrame]:
     """Keyed rows -> (_k1, _k2, n of every distinct row, _k1 and _k2 of the row that stays of each group)."""
-    every = cut(signatures(rows, id_col, text_col, shingle, bands, n))
+    total, similarity = max(1, rows.count()), least[0] / least[1]
+    m, n = shape(total, similarity, recall)
+    every = cut(signatures(rows, id_col, text_col, shingle, n + 2))
     keys = every.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-    nodes = cut(every.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"), F.max("size").alias("size"), F.min("bands").alias("bands")))
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    low = banded.groupBy("band").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "low")
-    loose = cut(connected_components(banded.join(low, "band").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))))
+    nodes = cut(every.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *KEY)).alias("best"), F.max("size").alias("size"), F.first("words").alias("words")))
+    loose = cut(candidates(nodes.where("size > 0"), total, m, n, similarity, recall))
+    # large components are few, and their members find them by one of several copies of their row
     whole = loose.join(nodes.select("node", "size"), "node").groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / limit), F.ceil(F.sum("size") / volume)).cast("int").alias("chunks"))
-    members = loose.join(whole, "component").join(nodes, "node").select("node", "component", "chunks", "best._k1", "best._k2")
+    whole = whole.where("chunks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    members = loose.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")).join(whole, ["component", "salt"], "left").select("node", "component", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    members = members.join(nodes, "node").select("node", "component", "chunks", "best._k1", "best._k2")
     found = rows.select(*KEY, F.col(text_col).alias("text")).join(members, KEY)
     if not keys.where("n > 1").isEmpty():  # equal rows: one set
         found = found.dropDuplicates(["node"])
@@ -146,7 +137,7 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     sets = found.select("node", "component", "chunks", "text").mapInArrow(run, "node long, component long, chunks int, shingles binary")
     sets = sets.withColumn("own", F.expr("cast(pmod(xxhash64(node), chunks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    links = verified(sets.withColumn("c", F.least("own", "other")).withColumn("d", F.greatest("own", "other")))
+    links = verified(sets.withColumn("c", F.least("own", "other")).withColumn("d", F.greatest("own", "other")), least)
     of = connected_components(links)
     best = nodes.join(of, "node", "left").groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("best").alias("best"))
     return keys, best.select("best._k1", "best._k2")

@@ -5,11 +5,10 @@ import re
 import numpy as np
 import pytest
 from oracle import sql_rows
+from test_shingle_dedup import shingles
 
 import corpus_pipeline as C
 from stagewise.llm import mixing, quality_rules, secret_scan
-from stagewise.llm.common import mix64
-from stagewise.llm.simhash import majority, shingle_hashes
 
 
 @pytest.fixture(scope="module")
@@ -34,23 +33,24 @@ def test_quality(stages, sf):
 
 
 def test_near_dedup(stages):
+    """All pairs by the similarity of their five-word shingle sets; one row of each group stays."""
     rows = stages[1]
-    fps = []
-    for r in rows:
-        h = shingle_hashes(r.text.encode(), 5)
-        fps.append((majority(h), majority(mix64(h))))
-    group = {r.doc_id: r.doc_id for r in rows}
-    changed = True
-    while changed:
-        changed = False
-        for i, a in enumerate(rows):
-            for j in range(i):
-                d = (fps[i][0] ^ fps[j][0]).bit_count()
-                if d <= 13 and d + (fps[i][1] ^ fps[j][1]).bit_count() <= 26:
-                    m = min(group[a.doc_id], group[rows[j].doc_id])
-                    changed |= group[a.doc_id] != m or group[rows[j].doc_id] != m
-                    group[a.doc_id] = group[rows[j].doc_id] = m
-    assert {r.doc_id for r in stages[2]} == set(group.values())
+    sets = [shingles(r.text) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r.doc_id), r.doc_id)
+    assert sorted(r.doc_id for r in stages[2]) == sorted(least.values())
     text = {r.doc_id: r.text for r in rows}
     assert all(r.text == text[r.doc_id] for r in stages[2])
 

@@ -71,8 +71,8 @@ def test_large_groups_and_chunks(spark):
                 x ^= 1 << b
             fps.add(x)
     fps = sorted(fps)
-    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), 0) for x in fps], "fp long, fp2 long")
-    got = {(e.a, e.b) for e in S.links(df, 4, plan_sample=64, limit=20).collect()}
+    df = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)), None if i % 5 == 0 else i % 7) for i, x in enumerate(fps)], "fp long, least long")
+    got = {(e.a.id, e.b.id) for e in S.links(df, 4, plan_sample=64, limit=20).collect()}
     signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
     edges = S.connected_components(spark.createDataFrame(list(got), "a long, b long")).collect()
     of = {e.node: e.component for e in edges}
@@ -91,5 +91,27 @@ def test_empty(spark):
 def test_plan_is_complete(t):
     sample = np.random.default_rng(0).integers(0, 2**63, 200).astype(np.uint64)
     parts = S.plan(sample, 10**6, t)
-    assert sum(e + 1 for _, e, _ in parts) == t + 1
-    assert sum(mask for mask, _, _ in parts) < 1 << 64
+    assert sum(e + 1 for _, _, e, _ in parts) == t + 1
+    assert sum(mask for _, mask, _, _ in parts) < 1 << 64
+
+
+def test_likely_plan_reaches_its_recall():
+    r = np.random.default_rng(1)
+    m, n = S.shape(10**5, 0.8, 0.99)
+    parts = S.likely_plan(r.integers(0, 2**63, (300, n)).astype(np.uint64) * np.uint64(2), 10**5, m, 0.8, 0.99)
+    met = 0
+    for _ in range(400):
+        h = r.integers(0, 1 << 64, 340, np.uint64)
+        a, b = S.majorities(h[:306], n), S.majorities(h[34:], n)  # 272 of 340 in common
+        met += any(np.bitwise_count((a[w] ^ b[w]) & np.uint64(mask)) <= e for w, mask, e, _ in parts)
+    assert met >= 0.97 * 400
+    assert S.shape(10**9, 0.8, 0.99)[0] < m
+
+
+def test_null_repeated_and_shared_ids(spark):
+    rows = [("a b c d e f", None, ""), ("a b c d e f", None, ""), ("x y z u v w", None, ""), ("x y z u v w", 5, ""), ("a b c", 7, ""), ("k l m n o p", 7, ""), ("k l m n o p", 7, "")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(((r.doc_id, r.component_id) for r in S.near_duplicates(df).collect()), key=repr)
+    assert got == sorted([(None, None), (None, None), (None, 5), (5, 5), (7, 7), (7, 7), (7, 7)], key=repr)
+    long = " ".join(f"w{i}" for i in range(200000))
+    assert S.near_duplicates(spark.createDataFrame([(long, 2, ""), (long, 1, "")], SCHEMA)).first().component_id == 1
