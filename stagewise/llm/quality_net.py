@@ -1,18 +1,20 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Filters of `TAPS` bytes slide over the whole document. The document is covered by chunks
-of `CHUNK` bytes that overlap by the filters' reach; each chunk keeps each filter's
+of `CHUNK` bytes that begin every `STRIDE` bytes, so neighbours share half their bytes; each chunk keeps each filter's
 largest response (max pooling), and a logistic layer combines the mean and the maximum over
 all chunks into one probability. Since a filter's input is one-hot bytes, its weights are
 a table of 256 rows for each tap, and two taps are looked up at once by byte pairs.
 
-The net is trained by Adam on a bounded sample of labelled rows (`per_class` documents of
-either label, the smallest hashes of their ids; whole texts), with both labels weighted
-alike. Training runs in one thread and in a fixed order, so a rerun gives the same net.
+The net is trained by Adam on a bounded sample of labelled rows (`per_class` ids of either label, the smallest hashes; of the rows
+of an id one; of a text over `train_chars` code points `train_runs` evenly spaced runs, that many in all), with both labels weighted
+alike. So at most 2 * per_class rows and 2 * per_class * train_chars code points come to the driver.
+Training runs in one thread and in a fixed order, so a rerun gives the same net. Scores always read whole texts.
 
 Defined cases: null text is empty; an empty text has all-zero features and scores like the
 bias alone; labels other than 0 and 1 or null, and labels without a document, are not
-learned from; without both labels every score is 0.5; other columns stay out.
+learned from, and of several labels of an id the larger counts; without both labels every score is 0.5; rows that share an id or are
+repeated are each scored; equal texts have equal scores; an empty table gives an empty result; other columns stay out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TAPS, FILTERS, CHUNK = 4, 16, 256
+TAPS, FILTERS, CHUNK, STRIDE = 6, 24, 256, 128
 
 
 def _pairs(data: np.ndarray) -> np.ndarray:
@@ -41,22 +43,24 @@ class Net:
         self.out_bias = np.zeros(1, np.float32)
 
     def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple((self.w[i][:, None, :] + self.w[i + 1][None, :, :]).reshape(65536, FILTERS) for i in (0, 2))
+        return tuple((self.w[i][:, None, :] + self.w[i + 1][None, :, :]).reshape(65536, FILTERS) for i in range(0, TAPS, 2))
 
     def responses(self, data: np.ndarray, tables) -> np.ndarray:
         p = _pairs(data)
         y = tables[0].take(p[: len(data)], axis=0)
-        y += tables[1].take(p[2 : len(data) + 2], axis=0)
+        for k, table in enumerate(tables[1:], 1):
+            y += table.take(p[2 * k : len(data) + 2 * k], axis=0)
         return y
 
     def chunks(self, data: np.ndarray, tables, piece: int = 1 << 16) -> np.ndarray:
-        """(chunks, filters): max-pooled responses over the whole document."""
+        """(chunks, filters): max-pooled responses over the whole document. piece: a multiple of STRIDE."""
         out = []
         for a in range(0, len(data), piece):  # a piece sees the bytes of the next one that its last filters reach
             n = min(piece, len(data) - a)
             y = self.responses(data[a : a + piece + TAPS], tables)[:n]
-            out.append(np.maximum.reduceat(y, np.arange(0, n, CHUNK), axis=0))
-        return np.concatenate(out) if out else np.zeros((0, FILTERS), np.float32)
+            out.append(np.maximum.reduceat(y, np.arange(0, n, STRIDE), axis=0))
+        steps = np.concatenate(out) if out else np.zeros((0, FILTERS), np.float32)
+        return np.maximum(steps[:-1], steps[1:]) if len(steps) > 1 else steps  # a chunk is two steps
 
     def features(self, pooled: np.ndarray) -> np.ndarray:
         if not len(pooled):
@@ -104,11 +108,15 @@ def _backward(net: Net, data: np.ndarray, label: float, weight: float, grads: li
     p = np.zeros(len(data) + TAPS, np.uint8)
     p[: len(data)] = data
     y = sum(net.w[t].take(p[t : t + len(data)], axis=0) for t in range(TAPS))
-    starts = np.arange(0, len(data), CHUNK)
-    pad = (-len(data)) % CHUNK
-    blocks = np.concatenate([y, np.full((pad, FILTERS), -np.inf, np.float32)]).reshape(len(starts), CHUNK, FILTERS)
+    starts = np.arange(0, len(data), STRIDE)
+    pad = (-len(data)) % STRIDE
+    blocks = np.concatenate([y, np.full((pad, FILTERS), -np.inf, np.float32)]).reshape(len(starts), STRIDE, FILTERS)
     where = blocks.argmax(1)
     pooled = np.take_along_axis(blocks, where[:, None], 1)[:, 0]
+    place = where + starts[:, None]
+    if len(starts) > 1:
+        second = pooled[1:] > pooled[:-1]
+        pooled, place = np.where(second, pooled[1:], pooled[:-1]), np.where(second, place[1:], place[:-1])
     h = np.maximum(pooled + net.bias, 0)
     top = h.argmax(0)
     f = np.concatenate([h.mean(0), h.max(0)])
@@ -120,7 +128,6 @@ def _backward(net: Net, data: np.ndarray, label: float, weight: float, grads: li
     dh[top, np.arange(FILTERS)] += d * net.out[FILTERS:]
     dh *= h > 0
     grads[1] += dh.sum(0)
-    place = where + starts[:, None]
     columns = np.broadcast_to(np.arange(FILTERS), place.shape)
     for t in range(TAPS):
         np.add.at(grads[0][t], (p[place + t], columns), dh)
@@ -130,14 +137,18 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 800) -> Net | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 800, train_chars: int = 1 << 15, train_runs: int = 16) -> Net | None:
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).alias("label"))
     chosen = None
     for x in (0, 1):  # at most per_class rows each
         part = known.where(F.col("label") == x).orderBy(F.xxhash64("k"), "k").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("k")).select("k", F.coalesce(text_col, F.lit("")).alias("t"), "label").collect()
-    rows.sort(key=lambda r: (r["k"], r["t"]))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("t")).join(F.broadcast(chosen), F.col("id") == F.col("k"))
+    n, run = F.length("t"), train_chars // train_runs
+    runs = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(train_runs - 1)), lambda i: F.substr("t", (F.floor(i * (n - run) / (train_runs - 1)) + 1).cast("int"), F.lit(run))), "")
+    part = F.when(n > train_chars, runs).otherwise(F.col("t"))
+    rows = rows.groupBy("k", "label").agg(F.min_by(part, F.xxhash64("t")).alias("t")).collect()
+    rows.sort(key=lambda r: r["k"])
     return train([r["t"].encode() for r in rows], np.array([float(r["label"]) for r in rows]))
 
 
