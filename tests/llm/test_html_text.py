@@ -75,3 +75,60 @@ def test_frames_and_dropped_tags(page, text):
 )
 def test_article_is_one_feature(page, text):
     assert H.main_text(page) == text
+
+
+CHINESE = "这是一篇很长的文章,讲述了去海边的路上看到的一切,它的长度足以满足规则的要求。" * 6
+RUSSIAN = "Это один из длинных абзацев, который рассказывает о том, что было видно по дороге к морю, и он настолько длинный, насколько нужно. " * 3
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<nav><a>家</a></nav><p>{CHINESE}</p><p>短句。</p><footer>版权</footer>", f"{CHINESE} 短句。"),
+        (f"<div class=ad>Купить</div><h1>Море</h1><p>{RUSSIAN}</p><ul><li><a href=x>{RUSSIAN}</a></ul>", f"Море {RUSSIAN}".strip()),
+        (f"<p>{RUSSIAN}</p><p>{LONG}</p>", f"{RUSSIAN}{LONG}".strip()),
+        (f"<form><nav>menu</nav><p>{LONG}</p><p>{LONG}</p><input></form>", f"{LONG}{LONG}".strip()),
+        (f"<form><article><p>{LONG}</p></article></form>", LONG.strip()),
+        (f"<article><p>{LONG}</p><form>your mail</form><div class='legal-analysis'>kept</div><div class='ad-box'>no</div></article>", f"{LONG}kept"),
+        (f"<div class='page has-sidebar'><p>{LONG}</p></div>", LONG.strip()),
+        (f"<div class='search page'><p>{LONG}</p><p>{LONG}</p></div>", f"{LONG}{LONG}".strip()),
+        (f"<div class='post comments'><p>{LONG}</p></div><p>Short.</p>", "Short."),
+        (f"<article><p>a<svg class='i'/> b</p><p>{LONG}</p></article>", f"a b {LONG}".strip()),
+        (f"<article><button>Go<p>{LONG}</p></article>", f"Go {LONG}".strip()),
+        (f"<article><p>{LONG}</p><button>Go<p>yes</p><button>No</button></article>", f"{LONG}Go yes"),
+        (f"<article><p title=it's>{LONG}</p></article>", LONG.strip()),
+        ("<article><p title='a>b' class=\"x=>\">one</p><p a=b=c>two</p></article>", "one two"),
+        ("<head><title>t<body><article><p>x</p></article>", "x"),
+        ("<article>a <3 b <- c < d</article>", "a <3 b <- c < d"),
+    ],
+)
+def test_no_text_is_lost(page, text):
+    assert H.main_text(page) == text
+
+
+def test_pages_without_marks(spark, sf):
+    """The test pages with the article's tags taken away: stop words, links, length and neighbours decide."""
+    exact, lost = 0, 0
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    for page in pages:
+        want = plain(page).split()
+        got = H.main_text(re.sub(r"</?article[^>]*>", "", page)).split()
+        exact += got == want
+        lost += len(want) - sum(1 for w in want if w in set(got))
+    print("exact", exact, "of", len(pages), "words lost", lost)
+    assert exact >= 0.9 * len(pages)
+
+
+@pytest.mark.parametrize("page", ["<span>" * 20000 + "</b>" * 20000, "<p><span>x</p>" * 20000, "<a x='" * 20000 + ">", '<a x="' * 20001, "<button>" * 20000 + "x", "<div class=ad>" * 20000, "<" * 50000, "<svg>" * 20000 + "</svg>"])
+def test_time_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    H.main_text(page)
+    assert time.perf_counter() - began < 2
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>x", "h", "t", 5)] * 2, "page_id long, html string, _html string, page string, c0 int")
+    got = H.extract(df)
+    assert got.columns == ["page_id", "_html", "page", "c0", "text"] and [tuple(r) for r in got.collect()] == [(1, "h", "t", 5, "x")] * 2
