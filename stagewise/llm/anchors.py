@@ -1,9 +1,12 @@
 """Exchange of hashes between blocks of documents.
 
-Documents are dealt into blocks by a hash of their id. A block sends sorted arrays of
-distinct 64-bit hashes to buckets (ranges of hash values); the bucket answers which of
+Documents are dealt into blocks by row, whatever their ids, so that no block grows with a repeated or missing id. A block sends sorted arrays of
+distinct 64-bit hashes to buckets (ranges of hash values, one for four blocks); the bucket answers which of
 them other blocks sent too. Messages are packed arrays, one for each block and bucket,
-so that a hash that a third of all documents holds costs one entry a block.
+so that a hash that a third of all documents holds costs one entry a block. (Beyond about a terabyte a message is down to
+one hash, which is the usual row of a shuffle.)
+
+Hashes of 64 bits only choose candidates here: what is removed is decided on the pairs of hashes (over 90 bits) that the second round sends.
 """
 
 from __future__ import annotations
@@ -32,7 +35,11 @@ def answer_table(block: list[int], bucket: int, payload: list[bytes]) -> pa.Tabl
 def in_blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """(doc_id, text, block) and the number of blocks."""
     n = n_blocks(docs, text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("block")), n
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int").alias("block")), n
+
+
+def n_buckets(blocks: int) -> int:
+    return -(-blocks // 4)
 
 
 def send_hashes(block: int, distinct: np.ndarray, n: int) -> pa.Table:

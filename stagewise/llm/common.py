@@ -73,6 +73,75 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
+class PrimePowers:
+    """Powers of a base modulo the prime 2**31 - 1, and of its inverse, kept as far as needed."""
+
+    P = (1 << 31) - 1
+
+    def __init__(self, base: int) -> None:
+        self.base, self.up, self.down = (base, pow(base, -1, self.P)), np.ones(1, _U), np.ones(1, _U)
+
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        size = max(n, 1 << 16)
+        while len(self.up) < n or len(self.up) < 1 << 16:
+            k = min(len(self.up), size - len(self.up))
+            up, down = (x[:k] * _U(pow(b, len(x), self.P)) % _U(self.P) for x, b in zip((self.up, self.down), self.base, strict=True))
+            self.up, self.down = np.concatenate([self.up, up]), np.concatenate([self.down, down])
+        return self.up[:n], self.down[:n]
+
+
+def runs_check(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: PrimePowers) -> np.ndarray:
+    """A second hash of each values[start:end] of bytes, of 31 bits: a polynomial over a prime field, so no structure of the bytes defeats it
+    as it may the one modulo 2**64."""
+    up, down = powers.get(len(values) + 1)
+    terms, p = values * up[: len(values)], _U(powers.P)
+    if len(values) > 1 << 24:  # else the sum of terms below 2**39 fits
+        terms %= p
+    sums = np.zeros(len(values) + 1, _U)
+    np.cumsum(terms, out=sums[1:])
+    return (sums[ends] - sums[starts]) % p * down[starts] % p
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of 64-bit values plane by plane, so that their zero bytes compress."""
+    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def pack_columns(hashes: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Columns of one length as a message: hashes as they are, numbers (int64) compressed."""
+    import pyarrow as pa
+
+    raw = b"".join(map(planes, numbers))
+    return np.array([len(hashes[0]), len(hashes), len(numbers)]).tobytes() + b"".join(x.tobytes() for x in hashes) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack_columns(message: bytes) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    import pyarrow as pa
+
+    n, h, k = np.frombuffer(message, np.int64, 3).tolist()
+    hashes = np.frombuffer(message, _U, n * h, 24).reshape(h, n)
+    raw = np.frombuffer(pa.decompress(memoryview(message)[24 + 8 * n * h :], decompressed_size=8 * n * k, codec="zstd"), np.uint8)
+    numbers = np.ascontiguousarray(raw.reshape(k, 8, n).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
+    return list(hashes), list(numbers)
+
+
+def find_pairs(h: np.ndarray, g: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place of each pair (x, y) among the pairs (h, g) sorted by h, or -1."""
+    if not len(h):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+    out = np.where((h[at] == x) & (g[at] == y), at, -1)
+    open_ = np.flatnonzero((h[at] == x) & (out < 0))  # another pair has the same h: look further
+    while len(open_):
+        at[open_] += 1
+        open_ = open_[at[open_] < len(h)]
+        open_ = open_[h[at[open_]] == x[open_]]
+        hit = g[at[open_]] == y[open_]
+        out[open_[hit]] = at[open_[hit]]
+        open_ = open_[~hit]
+    return out
+
+
 def runs_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """64-bit hash of each values[start:end]; equal contents hash alike wherever they stand."""
     up, down = powers.get(len(values) + 1)

@@ -2,7 +2,7 @@
 
 A byte is removed if a string of `length` bytes that also starts in a document with a
 smaller id covers it. Groups of equal strings come from suffix-array intervals: starting
-from the intervals of all 8-byte strings, each round extends every interval by one byte
+from the intervals of all 16-byte strings, each round extends every interval by one byte
 to the left through the Burrows-Wheeler transform, so common prefixes grow by one each
 round (breadth first, values ascending), intervals of one suffix are dropped, and the
 expansion stops at the minimum length instead of deriving all longer prefixes.
@@ -12,11 +12,13 @@ of `length` bytes is named by its minimizer, the smallest hash among its m-byte
 equal windows have equal minimizers. Only runs of windows whose minimizer another
 document has too are sent on, to the bucket of that minimizer, which indexes the distinct
 runs (identical ones once, with the smallest id that holds them) of each minimizer that has
-several: a run that is its minimizer's only one can match no other.
+several: a run that is its minimizer's only one can match no other. Runs are told apart by two hashes, one modulo 2**64 and one over
+a prime field, over 90 bits together. All distinct runs around one minimizer meet in one bucket; that a passage of a third of all
+documents makes as many runs as it has surroundings is a limit of this form (see the README).
 
 Defined cases: null text is empty; shorter documents lose nothing; matches never cross
-documents; of documents with the same id none is smaller; a null id counts as larger than
-any other; other columns are not looked at.
+documents; of documents with the same id, repeated rows among them, none is smaller; a null id counts as larger than
+any other; texts of any length count whole; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.anchors import answer_table, exchange, in_blocks, local_groups, send_hashes, sent_table, shared_flags
-from stagewise.llm.common import Powers, bucket_slices, ids_array, mix64, pieces, runs_hash, text_buffer
+from stagewise.llm.anchors import answer_table, exchange, in_blocks, local_groups, n_buckets, send_hashes, sent_table, shared_flags
+from stagewise.llm.common import Powers, PrimePowers, bucket_slices, ids_array, mix64, pack_columns, pieces, planes, runs_check, runs_hash, text_buffer, unpack_columns
 
 _U = np.uint64
 
@@ -82,13 +84,8 @@ class _Runs:
         self.key = mix64(least[starts])  # minima crowd the low end; buckets need an even spread
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The bytes of int64 values plane by plane, so that their zero bytes compress."""
-    return x.view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
 def _pack(low: np.ndarray, high: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
-    raw = _planes(low) + _planes(high - low) + _planes(size) + text.tobytes()
+    raw = planes(low) + planes(high - low) + planes(size) + text.tobytes()
     return np.array([len(low), len(raw)]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -187,10 +184,14 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not (8 < m <= 24 and m < length):
         raise ValueError("m must lie in 9..24 and below length")
     blocks, n = in_blocks(docs, id_col, text_col)
-    fine = 4 * n  # buckets of the second round: an index takes some 100 times its text
+    n, fine = n_buckets(n), 4 * n  # fine: buckets of the second round, where an index takes some 100 times its text
 
     def new_powers():
-        return Powers(0xD6E8FEB86659FD93)
+        return Powers(0xD6E8FEB86659FD93), PrimePowers(0x2C1B3C6D)
+
+    def two_hashes(data, starts, ends, powers):
+        wide = data.astype(np.uint64)
+        return runs_hash(wide, starts, ends, powers[0]), runs_check(wide, starts, ends, powers[1])
 
     def chunks(table):
         data, offsets = text_buffer(table["text"])
@@ -217,23 +218,24 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shared = distinct[shared_flags(distinct, n, answers) | many]
         if not len(shared):
             return sent_table([], 0, [])
-        powers, seen = new_powers(), {k: [] for k in ("hash", "key", "id", "size", "text")}
+        powers, seen = new_powers(), {k: [] for k in ("hash", "check", "key", "id", "size", "text")}
         for _, ids, data, _, runs in chunks(table):
             on = shared[np.minimum(np.searchsorted(shared, runs.key), len(shared) - 1)] == runs.key
             start, end, row = runs.start[on], runs.end[on] + length - 1, runs.row[on]
-            seen["hash"].append(runs_hash(data.astype(np.uint64), start, end, powers))
+            for x, got in zip(("hash", "check"), two_hashes(data, start, end, powers), strict=True):
+                seen[x].append(got)
             seen["key"].append(runs.key[on])
             seen["id"].append(ids[row])
             seen["size"].append(end - start)
             seen["text"].append(_gather(data, start, end - start))
-        h, k, ids, size = (np.concatenate(seen[x]) for x in ("hash", "key", "id", "size"))
+        h, g, k, ids, size = (np.concatenate(seen[x]) for x in ("hash", "check", "key", "id", "size"))
         text, begin = np.concatenate(seen["text"]), np.cumsum(size) - size
         # one entry for each distinct run, ordered by minimizer
-        order = np.lexsort((h, k))
-        h, k, ids, size, begin = h[order], k[order], ids[order], size[order], begin[order]
-        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        order = np.lexsort((g, h, k))
+        h, g, k, ids, size, begin = h[order], g[order], k[order], ids[order], size[order], begin[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        h, k, size, begin = h[first], k[first], size[first], begin[first]
+        k, size, begin = k[first], size[first], begin[first]
         cuts = bucket_slices(k, fine)
         full = np.flatnonzero(cuts[1:] > cuts[:-1])
         payload = []
@@ -249,10 +251,10 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         low, high, size = np.concatenate(heads, axis=1)
         text = np.concatenate(texts)
         begin = np.cumsum(size) - size
-        h = runs_hash(text.astype(np.uint64), begin, begin + size, new_powers())
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        h, g = two_hashes(text, begin, begin + size, new_powers())
+        order = np.lexsort((g, h))
+        s, c = h[order], g[order]
+        first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (c[1:] != c[:-1])])
         entry = np.empty(len(h), np.int64)  # each message's run -> distinct run
         entry[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(s)]))
         least = np.minimum.reduceat(low[order], first)
@@ -294,26 +296,26 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             which, msg = which[told], msg[told]
             if len(which):
                 who.append(block)
-                payload.append(h[msg].tobytes() + s_from[which].tobytes() + s_size[which].tobytes() + s_id[which].tobytes())
+                payload.append(pack_columns([h[msg]], [g[msg].view(np.int64), s_from[which], s_size[which], s_id[which]]))
         return answer_table(who, key[0].as_py(), payload)
 
     def final(key, table, answers):
-        told = [np.frombuffer(x, np.int64).reshape(4, -1) for x in answers["payload"].to_pylist()]
-        h, w_from, w_size, w_id = np.concatenate(told, axis=1) if told else np.zeros((4, 0), np.int64)
-        h = h.view(np.uint64)
+        told = [unpack_columns(x) for x in answers["payload"].to_pylist()]
+        h = np.concatenate([x[0][0] for x in told]) if told else np.zeros(0, np.uint64)
+        g, w_from, w_size, w_id = np.concatenate([x[1] for x in told], axis=1) if told else np.zeros((4, 0), np.int64)
         order = np.argsort(h, kind="stable")
-        h, w_from, w_size, w_id = h[order], w_from[order], w_size[order], w_id[order]
+        h, g, w_from, w_size, w_id = h[order], g[order].view(np.uint64), w_from[order], w_size[order], w_id[order]
         out = {"doc_id": table["doc_id"].to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": []}
         powers = new_powers()
         for _, ids, data, offsets, runs in chunks(table):
             edge = np.zeros(len(data) + 1, np.int64)
             if len(h) and len(runs.start):
-                rh = runs_hash(data.astype(np.uint64), runs.start, runs.end + length - 1, powers)
+                rh, rg = two_hashes(data, runs.start, runs.end + length - 1, powers)
                 a, b = np.searchsorted(h, rh), np.searchsorted(h, rh, "right")
                 count = b - a
                 run = np.repeat(np.arange(len(rh)), count)
                 k = np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)
-                on = w_id[k] < ids[runs.row[run]]
+                on = (g[k] == rg[run]) & (w_id[k] < ids[runs.row[run]])
                 run, k = run[on], k[on]
                 begin = runs.start[run] + w_from[k]
                 edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + w_size[k] + length - 1, minlength=len(data) + 1)

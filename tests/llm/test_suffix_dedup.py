@@ -74,3 +74,11 @@ def test_empty_table_and_null_id(spark):
 def test_query(spark, sf):
     rows = [(r.text, r.doc_id, "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, op4_suffix_dedup(spark, sf).collect())) == brute(rows)
+
+
+def test_runs_that_a_plain_hash_takes_for_one(spark):
+    from test_substring_dedup import thue_morse
+
+    a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
+    rows = [(a, 1, ""), (b, 2, ""), ("a" * 2048 + "b", 3, ""), (a[:2048], 4, ""), (b[:1024] + a[:1024], 5, ""), ("a" * 2048 + "c", 6, "")]
+    assert digest(dedup_bytes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
