@@ -39,7 +39,7 @@ def test_copies_and_bad_vectors(spark):
     rows += [(2000, None), (2020, [0.0] * 8), (2040, [None] + [1.0] * 7), (2060, [float("nan")] * 8), (2080, [float("inf")] * 8), (2100, []), (2120, [1.0] * 7)]
     df = spark.createDataFrame([(i, v, 0.0) for i, v in rows], SCHEMA)
     got = {}
-    for x in N.nearest(df, df.where("vec_id % 20 = 0"), leaf_rows=50, query_rows=10).orderBy("query_id", "rank").collect():
+    for x in N.nearest(df, df.where("vec_id % 20 = 0"), leaf=20, leaf_rows=50).orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append(x.vec_id)
     want = brute([x for x in rows if x[0] < 2100])
     assert set(got) == set(want)
@@ -53,3 +53,20 @@ def test_few_and_none(spark):
     assert got == [(0, 1, 20, 0.5), (0, 2, 3, 0.0), (20, 1, 3, 1.0), (20, 2, 0, 0.5)]
     empty = spark.createDataFrame([], SCHEMA)
     assert N.nearest(empty, empty).count() == 0
+
+
+def test_depth_follows_the_table_and_clusters_cost_little():
+    r = np.random.default_rng(3)
+    sample = r.standard_normal((4096, 16))
+    assert [N.Forest(sample, n, 1, 400, 0).depth for n in (100, 1000, 51282, 10**9)] == [0, 2, 8, 9]
+    centres = r.standard_normal((200, 16)) * 4
+    clustered = centres[r.integers(0, 200, 4096)] + 0.1 * r.standard_normal((4096, 16))
+    clustered /= np.linalg.norm(clustered, axis=1, keepdims=True)
+    assert N.Forest(clustered, 4096 * 8, 8, 400, 0).calibrate(clustered, 10, 0.95) < 0.2
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (5, [0.5, 0.5], 2), (5, [0.5, 0.5], 2), (5, [0.0, 1.0], 3), (None, [1.0, 1.0], 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, tree int").withColumn("leaf", N.F.lit("x")).withColumn("id", N.F.lit(1)).withColumn("v", N.F.lit(2))
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in N.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == [(0, 1, 5, 0.5), (0, 2, 5, 0.0)]
