@@ -143,14 +143,16 @@ def groups(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     return keys, best.select("best._k1", "best._k2")
 
 
-def keep_one(docs: DataFrame, **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with one row of each group."""
-    rows = keyed(docs)
-    keys, stay = groups(rows, **how)
+    places = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't clash with the keys
+    rows = keyed(docs.toDF(*places.values()))
+    back = [F.col(p).alias(c) for c, p in places.items()]
+    keys, stay = groups(rows, places[id_col], places[text_col], **how)
     keys, stay = cut(keys), cut(stay)
     gone = keys.select(*KEY).join(stay, KEY, "left_anti")
     repeated = keys.where("n > 1").join(stay, KEY, "left_semi").select(*KEY)
     if repeated.isEmpty():
-        return rows.join(gone, KEY, "left_anti").select(*docs.columns)
+        return rows.join(gone, KEY, "left_anti").select(*back)
     once = rows.join(repeated, KEY, "left_semi").dropDuplicates(KEY)
-    return rows.join(gone.union(repeated), KEY, "left_anti").union(once).select(*docs.columns)
+    return rows.join(gone.union(repeated), KEY, "left_anti").union(once).select(*back)

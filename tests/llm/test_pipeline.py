@@ -91,3 +91,52 @@ def test_pack(stages):
 
 def test_run(spark, sf, stages):
     assert C.run(spark, sf).count() == len(stages[5])
+
+
+COLUMNS = ["text", "doc_id", "lang", "source", "n_chars", "_k1", "_k2", "blob", "spans", "clean", "row", "size", "position", "content", "host", "node", "c0"]
+ODD = "text string, doc_id long, lang string, source string, n_chars int, _k1 string, _k2 long, blob string, spans int, clean string, row int, size string, position double, content string, host int, node string, c0 int"
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls in every column, empty, long and repeated texts, shared ids, and columns named like those the operators use."""
+    own = lambda k, n=80: " ".join(f"w{k}x{i}" for i in range(n))
+    more = ("k", 1, "b", 2, "c", 3, "s", 0.5, "t", 4, "n", 5)
+    texts = [(None, 1), ("", 2), (" \n ", 3), (own(1), 10), (own(1), 10), (own(1), 11), (own(1), None), (own(2), 11), (own(3, 150000), 12), (own(4) + " token=abcdefghijklmnop", 13), (own(5), None), (own(6), 14)]
+    rows = [(t, d, None if d == 10 else "en", None if d in (12, 14) else "s", None if t is None else len(t), *(more if k % 2 else [None] * 12)) for k, (t, d) in enumerate(texts)]
+    return spark.createDataFrame(rows, ODD)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_odd_input(spark, sf, odd, k):
+    out = C.STAGES[k][1](spark, odd, sf)
+    assert C.STAGES[k][1](spark, odd.limit(0), sf).count() == 0
+    got = out.collect()
+    if k < 4:
+        assert out.columns == COLUMNS
+        before = {(r.doc_id, r.text): tuple(r)[5:] for r in odd.collect()}
+        assert all(tuple(r)[5:] in before.values() for r in got)
+    ids = sorted((r.doc_id for r in got), key=repr)
+    if k == 0:  # the copies and the others stay, what has no words goes
+        assert ids == sorted([10, 10, 11, None, 11, 12, 13, None, 14], key=repr)
+    elif k == 1:  # one of the empty ones, one of the copies
+        assert ids == sorted([1, 10, 11, 12, 13, None, 14], key=repr)
+    elif k == 2:
+        assert len(got) == 12 and [r.text for r in got if r.doc_id == 13][0].endswith(" <assign>") and {r.text for r in got if r.doc_id == 1} == {None}
+    elif k == 3:
+        assert sum(len((r.text or "").split()) for r in got) == sum(r.taken for r in mixing.mix(odd).collect()) > 150000
+    else:
+        assert sum(r.piece == 0 for r in got) == 12
+
+
+def test_pack_follows_the_mix(spark, sf, stages, tmp_path):
+    """Pieces of the pipeline's last stage carry the place where mixing wrote their documents."""
+    spark.createDataFrame([(f"{i} " + "tea " * 300, i) for i in range(500)], "text string, doc_id long").repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    own = {r.doc_id: r.position for r in mixing.stored_order(docs, "position").collect()}
+    assert [own[i] for i in range(500)] == sorted(own.values())
+    got, least = C.pack(spark, docs, sf).collect(), {}
+    for r in got:
+        least[r.sequence_id] = min(least.get(r.sequence_id, 2), own[r.doc_id])
+    assert len(got) == 500 and all(r.position == least[r.sequence_id] for r in got)
+    assert "position" in stages[5][0].asDict()
