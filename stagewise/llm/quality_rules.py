@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.common import SPLIT
+from stagewise.llm.common import SPLIT, cut
 
 _BLANK = " \t\n\x0b\x0c\r"
 
@@ -122,20 +122,24 @@ def _normal(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), "123456789", "000000000"), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
-def removed_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float) -> DataFrame:
-    """(r_content, r_host, n_line_words, r_lines) of each distinct text of a host that has lines above their limit."""
+def removed_words(docs: DataFrame, id_col: str, text_col: str, host_col: str, min_docs: int, share: float, small: int = 200_000) -> DataFrame:
+    """(r_content, r_host, n_line_words, r_lines) of each distinct text of a host that has lines above their limit.
+
+    Texts of several documents are broadcast if there are at most `small` of them (some 10 MB), else shuffled."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.explode(F.split(_normal(text), "\n")).alias("line"))
     rows = rows.select("host", "content", F.trim("line").alias("line")).where(F.col("line") != "")
     rows = rows.select("host", "content", F.xxhash64("line").alias("line"), (F.length("line") - F.length(F.translate("line", " ", "")) + 1).cast("long").alias("words"))
     # a text's rows and documents within a host; a line's words within a text are summed over its repeats and the text's rows
     copies = docs.groupBy(F.col(host_col).alias("host"), F.xxhash64(text).alias("content"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("rows"))
-    copies = copies.groupBy("host", "content").agg(F.sum("rows").alias("copies"), F.count(F.lit(1)).alias("documents"))
+    copies = cut(copies.groupBy("host", "content").agg(F.sum("rows").alias("copies"), F.count(F.lit(1)).alias("documents")))
     held = rows.groupBy("host", "content", "line").agg(F.sum("words").alias("words"))
     limits = copies.groupBy("host").agg(F.greatest(F.lit(float(min_docs)), share * F.sum("documents")).alias("most"))
     of = copies.select(F.col("host").alias("k_host"), F.col("content").alias("k_content"), "copies", "documents")
     # texts of one document each are counted without a join: few have more
     several = of.where("documents > 1")
+    if several.count() <= small:
+        several = F.broadcast(several)
     more = held.join(several, (held.content == F.col("k_content")) & held.host.eqNullSafe(F.col("k_host"))).select("host", "line", (F.col("documents") - 1).alias("n"))
     common = held.select("host", "line", F.lit(1).cast("long").alias("n")).union(more).groupBy("host", "line").agg(F.sum("n").alias("n")).where(F.col("n") > min_docs)
     common = common.join(limits, common.host.eqNullSafe(limits.host)).where(F.col("n") > F.col("most")).select(common.host.alias("c_host"), F.col("line").alias("c_line"))

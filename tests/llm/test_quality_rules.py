@@ -88,3 +88,10 @@ def test_no_python(spark, sf):
 
 def test_sql_has_rows(sf):
     assert sql_rows(sf, Q.ORACLE)[1]
+
+
+def test_many_copied_texts_are_shuffled(spark):
+    rows = [(f"line {k % 4} of it\nown {k % 6}", k, "h") for k in range(48)]
+    df = spark.createDataFrame(rows, "text string, doc_id long, source string")
+    got = [sorted(map(tuple, Q.removed_words(df, "doc_id", "text", "source", 5, 0.1, small).drop("r_lines").collect())) for small in (0, 200_000)]
+    assert got[0] == got[1] and got[0]
