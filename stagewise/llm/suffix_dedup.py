@@ -321,13 +321,13 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + w_size[k] + length - 1, minlength=len(data) + 1)
             gone = np.cumsum(edge[: len(data)]) > 0
             for i in range(len(ids)):
-                d, g = data[offsets[i] : offsets[i + 1]], gone[offsets[i] : offsets[i + 1]]
-                turn = np.flatnonzero(np.diff(np.r_[False, g, False].astype(np.int8)))
+                d, lost = data[offsets[i] : offsets[i + 1]], gone[offsets[i] : offsets[i + 1]]
+                turn = np.flatnonzero(np.diff(np.r_[False, lost, False].astype(np.int8)))
                 out["n_bytes"].append(len(d))
-                out["n_removed"].append(int(g.sum()))
+                out["n_removed"].append(int(lost.sum()))
                 out["n_spans"].append(len(turn) // 2)
                 out["spans"].append(",".join(f"{x}:{y}" for x, y in turn.reshape(-1, 2).tolist()))
-                out["kept"].append(d[~g].tobytes())
+                out["kept"].append(d[~lost].tobytes())
         kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.string()), ("kept", pa.binary())]
         return pa.table(out, schema=pa.schema(kinds))
 

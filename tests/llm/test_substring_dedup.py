@@ -122,3 +122,12 @@ def test_the_blocks_are_dealt_once(spark, sf):
     with redirect_stdout(out):
         df.explain()
     assert out.getvalue().count("ReusedExchange") >= 1
+
+
+def test_blocks_of_several_pieces(spark, monkeypatch):
+    """A block is read in bounded pieces: here of some 500 bytes."""
+    from stagewise.llm import common, substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "pieces", lambda offsets: common.pieces(offsets, 500))
+    rows = cases()
+    assert sorted(map(tuple, dedup_windows(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)

@@ -82,3 +82,12 @@ def test_runs_that_a_plain_hash_takes_for_one(spark):
     a, b = thue_morse(4096, "a", "b"), thue_morse(4096, "b", "a")
     rows = [(a, 1, ""), (b, 2, ""), ("a" * 2048 + "b", 3, ""), (a[:2048], 4, ""), (b[:1024] + a[:1024], 5, ""), ("a" * 2048 + "c", 6, "")]
     assert digest(dedup_bytes(spark.createDataFrame(rows, SCHEMA))) == brute(rows)
+
+
+def test_blocks_of_several_pieces(spark, sf, monkeypatch):
+    """A block is read in bounded pieces: here of some 3000 bytes."""
+    from stagewise.llm import common, suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda offsets: common.pieces(offsets, 3000))
+    rows = [(r.text, r.doc_id, "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert sorted(map(tuple, op4_suffix_dedup(spark, sf).collect())) == brute(rows)
