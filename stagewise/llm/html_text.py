@@ -254,14 +254,18 @@ def _framed(page: Page, kept: list, long: int) -> None:
         b.bad = b.bad or b.soft >= 0 and stays[b.soft] or own and b.outer >= 0
 
 
+_WIDE, _LETTER, _FAR = re.compile("[⺀-￯]"), re.compile(r"[^\W\d_]"), re.compile(r"[^\W\d_\x00-ɏ]")
+
+
 def _weight(words: list[str]) -> int:
     """Length of the joined words; signs that stand for syllables or words count three times."""
-    return sum(map(len, words)) + len(words) - 1 + 2 * sum("⺀" <= x <= "￯" for w in words if not w.isascii() for x in w)
+    text = " ".join(words)
+    return len(text) + (0 if text.isascii() else 2 * len(_WIDE.findall(text)))
 
 
 def _other_script(words: list[str]) -> bool:
-    letters = [x for w in words for x in w if x.isalpha()]
-    return 2 * sum(x > "ɏ" for x in letters) > len(letters)
+    text = " ".join(words)
+    return not text.isascii() and _FAR.search(text) is not None and 2 * len(_FAR.findall(text)) > len(_LETTER.findall(text))
 
 
 def main_text(page: str, short: int = 70, long: int = 200, stop_low: float = 0.2, stop_high: float = 0.3, link_high: float = 0.5) -> str:
