@@ -99,10 +99,16 @@ def record(docs: DataFrame, folder: str, text_col: str = "text", rules=RULES) ->
     return known.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
+def _joined(rows: DataFrame, known: DataFrame, how: str = "inner", salts: int = 8) -> DataFrame:
+    """rows with the spans of their blob; the rows of a blob with many copies are dealt over several copies of its findings."""
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    return rows.join(known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["blob", "salt"], how).drop("salt")
+
+
 def findings(docs: DataFrame, folder: str | None = None, text_col: str = "text", rules=RULES) -> DataFrame:
     """docs with blob and spans (array of kind, start, end): scans what the ledger in the folder lacks."""
     known = record(docs, folder or ledger_folder(docs.sparkSession), text_col, rules)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _blob(text_col).alias("blob")).join(known, "blob")
+    rows = _joined(docs.select(F.struct(*docs.columns).alias("row"), _blob(text_col).alias("blob")), known)
     return rows.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("blob", "spans")), "blob", "spans")
 
 
@@ -130,7 +136,7 @@ def redact(docs: DataFrame, folder: str | None = None, text_col: str = "text", r
     places = [f"c{i}" for i in range(len(others))]
     rows = docs.select(*(F.col(c).alias(p) for c, p in zip(others, places, strict=True)), F.col(text_col).alias("t"), _blob(text_col).alias("blob"))
     # only blobs with findings travel, so this side is small unless secrets are everywhere
-    rows = rows.join(known, "blob", "left").select(*places, "t", "spans")
+    rows = _joined(rows, known, "left").select(*places, "t", "spans")
     clean = rows.mapInArrow(run, rows.drop("spans").schema)
     back = dict(zip(others, places, strict=True)) | {text_col: "t"}
     return clean.select(*(F.col(back[c]).alias(c) for c in docs.columns))
@@ -139,7 +145,7 @@ def redact(docs: DataFrame, folder: str | None = None, text_col: str = "text", r
 def op3_secret_scan(spark, sf_dir: str, folder: str | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     known = record(docs, folder or ledger_folder(spark))
-    out = docs.select("doc_id", _blob("text").alias("blob")).join(known, "blob")
+    out = _joined(docs.select("doc_id", _blob("text").alias("blob")), known)
     names = F.array(*(F.lit(r[0]) for r in RULES))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
