@@ -60,14 +60,14 @@ def n_repeat_words(words: Column) -> Column:
         def covered(s):  # windows in the order of their words
             same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
             at = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-            at = F.array_sort(F.transform(at, lambda x: x["i"].cast("long")))
+            at = F.sort_array(F.transform(at, lambda x: x["i"].cast("long")))
             start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
             step_ = lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n"))
             return F.aggregate(at, start, step_, lambda acc: acc["n"])
 
         window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
-        by_words = lambda at: F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(_let(F.array_sort(F.transform(at, window)), covered))
-        return _let(step, lambda p: _let(F.array_sort(one(p)), lambda s: _let(alike(s, p), by_words)))
+        by_words = lambda at: F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(_let(F.sort_array(F.transform(at, window)), covered))
+        return _let(step, lambda p: _let(F.sort_array(one(p)), lambda s: _let(alike(s, p), by_words)))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(words, packed))
 
