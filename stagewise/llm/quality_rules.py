@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 from stagewise.llm.common import SPLIT, cut
 
-_BLANK = " \t\n\x0b\x0c\r"
-
 
 def _let(value: Column, body) -> Column:
     """body of a value that is computed once."""
@@ -46,16 +44,16 @@ def n_repeat_words(words: Column) -> Column:
 
     def packed(w):
         n = F.size(w)
-        step = F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("long")
+        high = -F.pow(F.lit(2.0), F.ceil(F.log2(n.cast("double")))).cast("long")
 
-        def one(p):
+        def one(m):
             h = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-            return F.transform(F.sequence(F.lit(0), n - 3), lambda i: _let(h(i), lambda x: x - F.pmod(x, p) + i))
+            return F.transform(F.sequence(F.lit(0), n - 3), lambda i: h(i).bitwiseAND(m).bitwiseOR(i.cast("long")))
 
-        def alike(s, p):  # positions that may repeat
-            top = lambda x: x - F.pmod(x, p)
+        def alike(s, m):  # positions that may repeat
+            top = lambda x: x.bitwiseAND(m)
             at = F.filter(s, lambda x, k: (top(x) == top(F.get(s, k - 1))) | (top(x) == top(F.get(s, k + 1))))
-            return F.transform(at, lambda x: F.pmod(x, p).cast("int"))
+            return F.transform(at, lambda x: x.bitwiseAND(F.bitwise_not(m)).cast("int"))
 
         def covered(s):  # windows in the order of their words
             same = lambda a, b: (a["a"] == b["a"]) & (a["b"] == b["b"]) & (a["c"] == b["c"])
@@ -67,34 +65,29 @@ def n_repeat_words(words: Column) -> Column:
 
         window = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
         by_words = lambda at: F.when(F.size(at) == 0, F.lit(0).cast("long")).otherwise(_let(F.sort_array(F.transform(at, window)), covered))
-        return _let(step, lambda p: _let(F.sort_array(one(p)), lambda s: _let(alike(s, p), by_words)))
+        return _let(high, lambda m: _let(F.sort_array(one(m)), lambda s: _let(alike(s, m), by_words)))
 
     return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(words, packed))
 
 
-def _no_blank(x: Column) -> Column:
-    return F.translate(x, _BLANK, "")
-
-
 def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = 10, share: float = 0.1, least_kept: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each input row: doc_id, the base counts, base_failed, n_line_words (removed by the line rule), kept, the hashes of
     its lines above the limit (r_lines, null if none), and the columns to carry as c_<name>."""
     held = [F.col(c).alias(f"c_{c}") for c in carry]
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = words_of(F.col(text_col))
-    lines = F.filter(F.split(text, "\n"), lambda x: _no_blank(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
         F.xxhash64(text).alias("content"),
         F.col(host_col).alias("host"),
         words.alias("w"),
-        F.length(_no_blank(text)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"),
         *held,
     )
     base = base.select(
-        "doc_id", "content", "host", "word_chars", "n_symbols",
+        "doc_id", "content", "host", "n_symbols", F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.size("w").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         n_repeat_words(F.col("w")).alias("n_repeat_words"), *(f"c_{c}" for c in carry),
