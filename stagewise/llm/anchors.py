@@ -82,13 +82,13 @@ def local_groups(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.n
     return h[first], np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first)
 
 
-def exchange(docs: DataFrame, n: int, sample: Callable, candidates: Callable, answer: Callable, final: Callable, schema: str) -> DataFrame:
+def exchange(docs: DataFrame, n: int, sample: Callable, candidates: Callable, answer: Callable, final: Callable, schema: str, share: Callable = answer_shared, sent_as: str = SENT) -> DataFrame:
     """Two rounds: which sampled hashes are shared, then what the candidates around them are worth.
 
-    sample(key, docs) and candidates(key, docs, answers) send messages, answer(key, messages)
-    answers the second round, final(key, docs, answers) makes the result. The three readers
+    sample(key, docs) and candidates(key, docs, answers) send messages (the latter as sent_as), share(key, messages) and answer(key, messages)
+    answer the first and the second round, final(key, docs, answers) makes the result. The three readers
     of docs share one exchange."""
-    shared = docs.groupBy("block").applyInArrow(sample, SENT).groupBy("bucket").applyInArrow(answer_shared, ANSWER)
-    sent = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(candidates, SENT)
+    shared = docs.groupBy("block").applyInArrow(sample, SENT).groupBy("bucket").applyInArrow(share, ANSWER)
+    sent = docs.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(candidates, sent_as)
     answers = sent.groupBy("bucket").applyInArrow(answer, ANSWER)
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(final, schema)

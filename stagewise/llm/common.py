@@ -166,6 +166,28 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def slices(data: np.ndarray, borders: np.ndarray):
+    """An Arrow binary column whose values are data[borders[k]:borders[k + 1]], without a copy or a step for each."""
+    import pyarrow as pa
+
+    at = (np.asarray(borders, np.int64) * data.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def joined(column) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow binary column in one array, and the n + 1 offsets of its rows."""
+    import pyarrow as pa
+
+    a = column.cast(pa.large_binary()).combine_chunks()
+    if isinstance(a, pa.ChunkedArray):
+        a = pa.concat_arrays(a.chunks) if a.num_chunks else pa.array([], pa.large_binary())
+    if not len(a):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1]
+    data = np.frombuffer(a.buffers()[2], np.uint8) if a.buffers()[2] is not None else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def ids_array(column) -> np.ndarray:
     """Document ids as int64; a null id counts as larger than any other."""
     import pyarrow as pa

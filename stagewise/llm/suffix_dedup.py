@@ -2,7 +2,7 @@
 
 A byte is removed if a string of `length` bytes that also starts in a document with a
 smaller id covers it. Groups of equal strings come from suffix-array intervals: starting
-from the intervals of all 16-byte strings, each round extends every interval by one byte
+from the intervals of all 16-byte strings (to which suffixes are sorted), each round extends every interval by one byte
 to the left through the Burrows-Wheeler transform, so common prefixes grow by one each
 round (breadth first, values ascending), intervals of one suffix are dropped, and the
 expansion stops at the minimum length instead of deriving all longer prefixes.
@@ -13,8 +13,12 @@ equal windows have equal minimizers. Only runs of windows whose minimizer anothe
 document has too are sent on, to the bucket of that minimizer, which indexes the distinct
 runs (identical ones once, with the smallest id that holds them) of each minimizer that has
 several: a run that is its minimizer's only one can match no other. Runs are told apart by two hashes, one modulo 2**64 and one over
-a prime field, over 90 bits together. All distinct runs around one minimizer meet in one bucket; that a passage of a third of all
-documents makes as many runs as it has surroundings is a limit of this form (see the README).
+a prime field, over 90 bits together.
+
+All distinct runs around one minimizer meet in one bucket, and a passage of many documents makes as many runs as it has surroundings. So
+blocks also say how many different runs they hold of a minimizer, and one with more than `hot` of them is hot for all blocks: its windows
+are dealt one by one, each by its own hash, so that equal ones still meet and the others scatter. A message is a slice of a block's
+arrays, with no work of its own, for their number grows with blocks times buckets until there is one for each run.
 
 Defined cases: null text is empty; shorter documents lose nothing; matches never cross
 documents; of documents with the same id, repeated rows among them, none is smaller; a null id counts as larger than
@@ -28,10 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stagewise.llm.anchors import answer_table, exchange, in_blocks, local_groups, n_buckets, send_hashes, sent_table, shared_flags
-from stagewise.llm.common import Powers, PrimePowers, bucket_slices, ids_array, mix64, pack_columns, pieces, planes, runs_check, runs_hash, text_buffer, unpack_columns
+from stagewise.llm.anchors import exchange, in_blocks, n_buckets
+from stagewise.llm.common import Powers, PrimePowers, bucket_slices, ids_array, joined, mix64, pieces, runs_check, runs_hash, slices, text_buffer
 
 _U = np.uint64
+#: First round: the low 32 bits of a minimizer's hash (its bucket stands for the high ones), and how many further distinct runs of it the block
+#: holds, as 16 times the logarithm of that number and 1.
+NAME = np.dtype([("name", "<u4"), ("extra", "u1")])
+#: Second round: a distinct run's smallest id, what the largest is beyond it, and its bytes; below zero for a single window of a hot minimizer.
+RUN = np.dtype([("low", "<i8"), ("rest", "<i8"), ("size", "<i4")])
+SENT_RUNS = "bucket int, block int, head binary, payload binary"
+#: Its answer: a stretch of a run's windows and their smallest id; of size 0: a hot minimizer's hash.
+TOLD = np.dtype([("hash", "<u8"), ("check", "<u4"), ("start", "<i4"), ("size", "<i4"), ("id", "<i8")])
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -84,18 +96,33 @@ class _Runs:
         self.key = mix64(least[starts])  # minima crowd the low end; buckets need an even spread
 
 
-def _pack(low: np.ndarray, high: np.ndarray, size: np.ndarray, text: np.ndarray) -> bytes:
-    raw = planes(low) + planes(high - low) + planes(size) + text.tobytes()
-    return np.array([len(low), len(raw)]).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+def _expanded(runs: _Runs, on: np.ndarray, hot: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(start, end in bytes, row, key, single) of the runs on (places), those with a key in hot (sorted) window by window."""
+    start, end, row, key = runs.start[on], runs.end[on] + length - 1, runs.row[on], runs.key[on]
+    single = _member(key, hot)
+    if not single.any():
+        return start, end, row, key, single
+    count = np.where(single, end - start - length + 1, 1)
+    run = np.repeat(np.arange(len(on)), count)
+    step = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+    single = single[run]
+    start = start[run] + step
+    return start, np.where(single, start + length, end[run]), row[run], key[run], single
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is one of `among` (sorted)."""
+    if not len(among):
+        return np.zeros(len(values), bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
 
 
-def _unpack(message: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(low, high, size) as rows of one array, and the runs' bytes."""
-    count, total = np.frombuffer(message, np.int64, 2).tolist()
-    raw = np.frombuffer(pa.decompress(memoryview(message)[16:], decompressed_size=total, codec="zstd"), np.uint8)
-    head = np.ascontiguousarray(raw[: 24 * count].reshape(3, 8, count).transpose(0, 2, 1)).view(np.int64)[:, :, 0]
-    head[1] += head[0]
-    return head, raw[24 * count :]
+def _messages(block: int, cuts: np.ndarray, **arrays: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """A row for each bucket that gets something. cuts: borders of the entries by bucket; arrays: data and the n + 1 places of its entries, by column."""
+    full = np.flatnonzero(cuts[1:] > cuts[:-1])
+    at = np.r_[cuts[full], cuts[-1]]
+    columns = {"bucket": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), block), pa.int32())}
+    return pa.table(columns | {name: slices(data, places[at]) for name, (data, places) in arrays.items()})
 
 
 def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -112,40 +139,38 @@ def equal_groups(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.nd
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if n == 0:
         return none
-    suffixes, rank = _suffix_order(text, left, length)
     # the intervals of all 16-byte strings; suffixes too short for one belong to none
     start = min(16, length)
-    active = np.flatnonzero(left[suffixes] >= start)
-    eights, at = _eights(text), suffixes[active]
-    first, second = eights[at] >> _U(8 * max(0, 8 - start)), eights[np.minimum(at + 8, n - 1)] >> _U(min(63, 8 * (16 - start)))
+    place = _suffix_order(text, start)
+    place = place[left[place] >= start]
+    eights = _eights(text)
+    first, second = eights[place] >> _U(8 * max(0, 8 - start)), eights[np.minimum(place + 8, n - 1)] >> _U(min(63, 8 * (16 - start)))
     if start <= 8:
-        second = np.zeros(len(at), _U)
-    del eights, at
-    border = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(active) else active
-    size = np.diff(np.r_[border, len(active)])
-    group, keep = np.repeat(active[border], size), np.repeat(size > 1, size)
-    active, group = active[keep], group[keep]
+        second = np.zeros(len(place), _U)
+    del eights
+    inside = np.zeros(n, bool)  # whether the byte to the left stands in the same string
+    inside[1:] = left[:-1] == left[1:] + 1
+
+    def several(border):
+        """The entries of intervals of more than one suffix, and their intervals' numbers."""
+        border = np.r_[True, border] if len(place) else np.zeros(0, bool)
+        keep = ~(border & np.r_[border[1:], True]) if len(place) else border
+        return place[keep], np.cumsum(border)[keep]
+
+    place, group = several((first[1:] != first[:-1]) | (second[1:] != second[:-1]))
     for _ in range(start, length):
-        # backward step: the suffix one byte to the left, if it stands in the same string
-        before = suffixes[active] - 1
-        keep = before >= 0
-        keep[keep] = left[before[keep]] == left[before[keep] + 1] + 1
-        before, group = before[keep], group[keep]
-        at = rank[before]  # LF mapping
-        order = np.argsort(at)
-        at, group, byte = at[order], group[order], text[before[order]]
-        if not len(at):
-            return none
-        border = np.flatnonzero(np.r_[True, (byte[1:] != byte[:-1]) | (group[1:] != group[:-1])])
-        size = np.diff(np.r_[border, len(at)])
-        group = np.repeat(at[border], size)
-        keep = np.repeat(size > 1, size)
-        active, group = at[keep], group[keep]
-    return suffixes[active], group
-
-
-def _suffix_order(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes sorted by their first `length` bytes at least (prefix doubling), and each suffix's place."""
+        # backward step: the suffix one byte to the left
+        keep = inside[place]
+        place, group = place[keep] - 1, group[keep]
+        byte = text[place]
+        order = np.argsort(byte, kind="stable")  # LF mapping: suffixes of one byte keep their order
+        place, group, byte = place[order], group[order], byte[order]
+        place, group = several((byte[1:] != byte[:-1]) | (group[1:] != group[:-1]))
+    return place, group
+
+
+def _suffix_order(text: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes sorted by their first `length` bytes at least (prefix doubling)."""
     n = len(text)
     key = _eights(text)
     order = np.argsort(key)
@@ -174,12 +199,10 @@ def _suffix_order(text: np.ndarray, left: np.ndarray, length: int) -> tuple[np.n
         border[at] = new
         rank[places] = np.maximum.accumulate(np.where(new, at, 0))
         have *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    return order, place
+    return order
 
 
-def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, m: int = 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, m: int = 20, hot: int = 16384) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (pairs start:end, comma-joined), kept (binary)."""
     if not (8 < m <= 24 and m < length):
         raise ValueError("m must lie in 9..24 and below length")
@@ -201,55 +224,87 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             part = data[o[0] : o[-1]]
             yield a, ids[a:b], part, o - o[0], _Runs(part, o - o[0], length, m)
 
-    def keys_of(table):
-        keys, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for a, _, _, _, runs in chunks(table):
+    def keys_of(table, count_runs):
+        """Sorted distinct keys, whether several rows of the block hold each, and with count_runs how many runs beyond one (as in NAME)."""
+        keys, rows, edges = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, _, data, _, runs in chunks(table):
             keys.append(runs.key)
             rows.append(runs.row + a)
-        return local_groups(np.concatenate(keys), np.concatenate(rows))
+            if count_runs and len(runs.key):  # the ends of a run tell it well enough for a count
+                x = _eights(data)
+                edges.append(mix64(mix64(x[runs.start]) ^ x[runs.end + length - 9] ^ (runs.end - runs.start).astype(_U)))
+        keys, rows = np.concatenate(keys), np.concatenate(rows)
+        if not len(keys):
+            return keys, np.zeros(0, bool), np.zeros(0, np.uint8)
+        order = np.argsort(keys, kind="stable")
+        k, r = keys[order], rows[order]
+        first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+        extra = np.zeros(len(first), np.uint8)
+        if count_runs:
+            count = np.diff(np.r_[first, len(k)])
+            several = np.repeat(count > 1, count)
+            group, edge = np.repeat(np.arange(len(first)), count)[several], np.concatenate(edges)[order][several]
+            by = np.lexsort((edge, group))
+            group, edge = group[by], edge[by]
+            new = (group[1:] == group[:-1]) & (edge[1:] != edge[:-1])
+            extra = np.minimum(np.rint(16 * np.log2(1 + np.bincount(group[1:][new], minlength=len(first)))), 255).astype(np.uint8)
+        return k[first], np.minimum.reduceat(r, first) != np.maximum.reduceat(r, first), extra
 
     def sample(key, table):
-        return send_hashes(key[0].as_py(), keys_of(table)[0], n)
+        distinct, _, extra = keys_of(table, True)
+        sent = np.empty(len(distinct), NAME)
+        sent["name"], sent["extra"] = distinct.astype(np.uint32), extra
+        return _messages(key[0].as_py(), bucket_slices(distinct, n), payload=(sent, np.arange(len(sent) + 1)))
+
+    def share(key, table):
+        """A byte for each name: bit 0 if other blocks sent it too, bit 1 if it is hot."""
+        sent, at = joined(table["payload"])
+        sent = sent.view(NAME)
+        order = np.argsort(sent["name"], kind="stable")
+        name = sent["name"][order]
+        first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        count = np.diff(np.r_[first, len(name)])
+        state = np.empty(len(sent), np.uint8)
+        state[order] = np.repeat((count > 1) + 2 * (np.add.reduceat(np.exp2(sent["extra"][order].astype(float) / 16) - 1, first) > hot), count)
+        return pa.table({"block": table["block"].cast(pa.int32()), "bucket": pa.array(np.full(len(table), key[0].as_py()), pa.int32()), "payload": slices(state, at // NAME.itemsize)})
 
     def candidates(key, table, answers):
+        none = _messages(0, np.zeros(1, np.int64), head=(np.zeros(0, RUN), np.zeros(1, np.int64)), payload=(np.zeros(0, np.uint8), np.zeros(1, np.int64)))
         if not len(table) or not len(answers):
-            return sent_table([], 0, [])
-        distinct, many = keys_of(table)
-        shared = distinct[shared_flags(distinct, n, answers) | many]
+            return none
+        distinct, many, _ = keys_of(table, False)
+        state, _ = joined(answers.sort_by("bucket")["payload"])  # buckets are ranges of keys
+        shared, hot_keys = distinct[(state & 1 > 0) | many], distinct[state & 2 > 0]
         if not len(shared):
-            return sent_table([], 0, [])
-        powers, seen = new_powers(), {k: [] for k in ("hash", "check", "key", "id", "size", "text")}
-        for _, ids, data, _, runs in chunks(table):
-            on = shared[np.minimum(np.searchsorted(shared, runs.key), len(shared) - 1)] == runs.key
-            start, end, row = runs.start[on], runs.end[on] + length - 1, runs.row[on]
-            for x, got in zip(("hash", "check"), two_hashes(data, start, end, powers), strict=True):
+            return none
+        powers, seen = new_powers(), {k: [] for k in ("hash", "check", "key", "id", "size", "begin", "single")}
+        text, before = text_buffer(table["text"])
+        for a, ids, data, _, runs in chunks(table):
+            start, end, row, k, single = _expanded(runs, np.flatnonzero(_member(runs.key, shared)), hot_keys, length)
+            h, g = two_hashes(data, start, end, powers)
+            for x, got in zip(seen, (h, g, np.where(single, h, k), ids[row], end - start, before[a] + start, single), strict=True):
                 seen[x].append(got)
-            seen["key"].append(runs.key[on])
-            seen["id"].append(ids[row])
-            seen["size"].append(end - start)
-            seen["text"].append(_gather(data, start, end - start))
-        h, g, k, ids, size = (np.concatenate(seen[x]) for x in ("hash", "check", "key", "id", "size"))
-        text, begin = np.concatenate(seen["text"]), np.cumsum(size) - size
+        h, g, k, ids, size, begin, single = (np.concatenate(x) for x in seen.values())
         # one entry for each distinct run, ordered by minimizer
         order = np.lexsort((g, h, k))
-        h, g, k, ids, size, begin = h[order], g[order], k[order], ids[order], size[order], begin[order]
+        h, g, k, ids = h[order], g[order], k[order], ids[order]
         first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
         low, high = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-        k, size, begin = k[first], size[first], begin[first]
-        cuts = bucket_slices(k, fine)
-        full = np.flatnonzero(cuts[1:] > cuts[:-1])
-        payload = []
-        for b in full:
-            p = slice(cuts[b], cuts[b + 1])
-            payload.append(_pack(low[p], high[p], size[p], _gather(text, begin[p], size[p])))
-        return sent_table(full.tolist(), key[0].as_py(), payload)
+        one = order[first]
+        head = np.empty(len(one), RUN)
+        head["low"], head["rest"], head["size"] = low, high - low, np.where(single[one], -size[one], size[one])
+        return _messages(
+            key[0].as_py(), bucket_slices(k[first], fine),
+            head=(head, np.arange(len(one) + 1)), payload=(_gather(text, begin[one], size[one]), np.r_[0, np.cumsum(size[one])]),
+        )
 
     def answer(key, table):
-        blocks = table["block"].to_pylist()
-        heads, texts = zip(*(_unpack(x) for x in table["payload"].to_pylist()), strict=True)
-        owner = np.repeat(np.arange(len(heads)), [x.shape[1] for x in heads])
-        low, high, size = np.concatenate(heads, axis=1)
-        text = np.concatenate(texts)
+        heads, at = joined(table["head"])
+        text, _ = joined(table["payload"])
+        heads = heads.view(RUN)
+        owner = np.repeat(np.arange(len(table)), np.diff(at) // RUN.itemsize)
+        low, size = heads["low"].astype(np.int64), heads["size"].astype(np.int64)
+        high, single, size = low + heads["rest"], size < 0, np.abs(size)
         begin = np.cumsum(size) - size
         h, g = two_hashes(text, begin, begin + size, new_powers())
         order = np.lexsort((g, h))
@@ -259,15 +314,16 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         entry[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(s)]))
         least = np.minimum.reduceat(low[order], first)
         size_d, begin_d = size[order[first]], begin[order[first]]
-        # a run can only share a window with another run of its minimizer: index those that have one
-        heads_ = _gather(text, begin_d, np.full(len(begin_d), length))
-        _, inverse, count = np.unique(minimizers(heads_, length, m)[::length], return_inverse=True, return_counts=True)
-        some = np.flatnonzero(count[inverse] > 1)
-        joined = _gather(text, begin_d[some], size_d[some])
-        del text, heads, texts, heads_
+        # a run can only share a window with another run of its minimizer: index those that have one; single windows are distinct
+        name = mix64(minimizers(_gather(text, begin_d, np.full(len(begin_d), length)), length, m)[::length])
+        runs = np.flatnonzero(~single[order[first]])
+        _, inverse, count = np.unique(name[runs], return_inverse=True, return_counts=True)
+        some = runs[count[inverse] > 1]
+        indexed = _gather(text, begin_d[some], size_d[some])
+        del text, heads
         at = np.cumsum(size_d[some]) - size_d[some]
         string = np.repeat(np.arange(len(some)), size_d[some])
-        place, group = equal_groups(joined, size_d[some][string] - (np.arange(len(joined)) - at[string]), length)
+        place, group = equal_groups(indexed, size_d[some][string] - (np.arange(len(indexed)) - at[string]), length)
         # the smallest id of each window: of its own run, or of its group
         windows = size_d - length + 1
         w_at = np.cumsum(windows) - windows
@@ -285,39 +341,45 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         s_run, s_from, s_id = own[border], border - w_at[own[border]], best[border]
         s_size = np.diff(np.r_[border, len(own)])
         runs_first = np.searchsorted(s_run, np.arange(len(windows) + 1))
-        who, payload = [], []
-        for i, block in enumerate(blocks):
-            mine = np.arange(*np.searchsorted(owner, [i, i + 1]))
-            e = entry[mine]
-            count = runs_first[e + 1] - runs_first[e]
-            which = np.arange(count.sum()) + np.repeat(runs_first[e] - (np.cumsum(count) - count), count)
-            msg = np.repeat(mine, count)
-            told = s_id[which] < high[msg]
-            which, msg = which[told], msg[told]
-            if len(which):
-                who.append(block)
-                payload.append(pack_columns([h[msg]], [g[msg].view(np.int64), s_from[which], s_size[which], s_id[which]]))
-        return answer_table(who, key[0].as_py(), payload)
+        count = (runs_first[1:] - runs_first[:-1])[entry]
+        which = np.arange(count.sum()) + np.repeat(runs_first[entry] - (np.cumsum(count) - count), count)
+        msg = np.repeat(np.arange(len(entry)), count)
+        told = s_id[which] < high[msg]
+        which, msg = which[told], msg[told]
+        # the minimizers that the blocks have to take window by window
+        lone = msg[single[msg]]
+        lone = lone[np.unique(np.stack([owner[lone].astype(_U), name[entry[lone]]]), axis=1, return_index=True)[1]] if len(lone) else lone
+        out = np.zeros(len(which) + len(lone), TOLD)
+        out["hash"], out["check"] = np.r_[h[msg], name[entry[lone]]], np.r_[g[msg].astype(np.uint32), np.zeros(len(lone), np.uint32)]
+        for x, got in zip(("start", "size", "id"), (s_from, s_size, s_id), strict=True):
+            out[x][: len(which)] = got[which]
+        to = np.r_[owner[msg], owner[lone]]
+        by = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[by], np.arange(len(table) + 1))
+        full = np.flatnonzero(cuts[1:] > cuts[:-1])
+        bucket = pa.array(np.full(len(full), key[0].as_py()), pa.int32())
+        return pa.table({"block": table["block"].cast(pa.int32()).take(pa.array(full)), "bucket": bucket, "payload": slices(out[by], np.r_[cuts[full], cuts[-1]])})
 
     def final(key, table, answers):
-        told = [unpack_columns(x) for x in answers["payload"].to_pylist()]
-        h = np.concatenate([x[0][0] for x in told]) if told else np.zeros(0, np.uint64)
-        g, w_from, w_size, w_id = np.concatenate([x[1] for x in told], axis=1) if told else np.zeros((4, 0), np.int64)
-        order = np.argsort(h, kind="stable")
-        h, g, w_from, w_size, w_id = h[order], g[order].view(np.uint64), w_from[order], w_size[order], w_id[order]
+        told = joined(answers["payload"])[0].view(TOLD)
+        hot_keys, told = np.unique(told["hash"][told["size"] == 0]), told[told["size"] > 0]
+        told = told[np.argsort(told["hash"], kind="stable")]
+        h, g = told["hash"].copy(), told["check"].astype(_U)
+        w_from, w_size, w_id = (told[x].astype(np.int64) for x in ("start", "size", "id"))
         out = {"doc_id": table["doc_id"].to_pylist(), "n_bytes": [], "n_removed": [], "n_spans": [], "spans": [], "kept": []}
         powers = new_powers()
         for _, ids, data, offsets, runs in chunks(table):
             edge = np.zeros(len(data) + 1, np.int64)
             if len(h) and len(runs.start):
-                rh, rg = two_hashes(data, runs.start, runs.end + length - 1, powers)
+                start, end, row, _, _ = _expanded(runs, np.arange(len(runs.start)), hot_keys, length)
+                rh, rg = two_hashes(data, start, end, powers)
                 a, b = np.searchsorted(h, rh), np.searchsorted(h, rh, "right")
                 count = b - a
                 run = np.repeat(np.arange(len(rh)), count)
                 k = np.arange(count.sum()) + np.repeat(a - (np.cumsum(count) - count), count)
-                on = (g[k] == rg[run]) & (w_id[k] < ids[runs.row[run]])
+                on = (g[k] == rg[run]) & (w_id[k] < ids[row[run]])
                 run, k = run[on], k[on]
-                begin = runs.start[run] + w_from[k]
+                begin = start[run] + w_from[k]
                 edge = np.bincount(begin, minlength=len(data) + 1) - np.bincount(begin + w_size[k] + length - 1, minlength=len(data) + 1)
             gone = np.cumsum(edge[: len(data)]) > 0
             for i in range(len(ids)):
@@ -331,7 +393,7 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         kinds = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("spans", pa.string()), ("kept", pa.binary())]
         return pa.table(out, schema=pa.schema(kinds))
 
-    return exchange(blocks, n, sample, candidates, answer, final, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary")
+    return exchange(blocks, n, sample, candidates, answer, final, "doc_id long, n_bytes long, n_removed long, n_spans long, spans string, kept binary", share, SENT_RUNS)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:

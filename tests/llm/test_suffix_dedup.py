@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from stagewise.llm.suffix_dedup import dedup_bytes, equal_groups, op4_suffix_dedup
 
@@ -91,3 +92,56 @@ def test_blocks_of_several_pieces(spark, sf, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "pieces", lambda offsets: common.pieces(offsets, 3000))
     rows = [(r.text, r.doc_id, "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, op4_suffix_dedup(spark, sf).collect())) == brute(rows)
+
+
+def test_a_hot_minimizer_is_dealt_window_by_window(spark, sf, monkeypatch):
+    """A passage between texts of its own makes as many runs as documents: no index takes them all."""
+    from stagewise.llm import suffix_dedup
+
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = text(90)
+    rows = [(text(r.randrange(0, 90)) + passage[r.randrange(0, 3) :] + text(r.randrange(0, 90)), i, "") for i in range(400)]
+    rows += [("a" * 300, 500, ""), ("b" + "a" * 200 + "c", 501, ""), (passage, None, ""), (passage[5:70], 399, "")]
+    rows += [(x.text, x.doc_id, "") for x in spark.read.parquet(f"{sf}/documents.parquet").limit(50).collect()]
+    docs, want = spark.createDataFrame(rows, SCHEMA).repartition(3).cache(), sorted(((1 << 63) - 1 if d is None else d, t, k) for t, d, k in rows)
+    want = brute([(t, d, k) for d, t, k in want])
+    real, big = suffix_dedup.in_blocks, suffix_dedup.equal_groups
+
+    def bounded(text, left, length):
+        assert len(text) < 20_000, "one index holds the runs of all documents"
+        return big(text, left, length)
+
+    def several(docs, id_col, text_col):
+        blocks, _ = real(docs, id_col, text_col)
+        return blocks.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(5)).cast("int")), 5
+
+    whole = [digest_with_null(dedup_bytes(docs, **x)) for x in ({}, {"hot": 0}, {"hot": 10})]
+    monkeypatch.setattr(suffix_dedup, "in_blocks", several)
+    whole += [digest_with_null(dedup_bytes(docs, **x)) for x in ({}, {"hot": 0}, {"hot": 10})]
+    assert all(x == want for x in whole)
+    monkeypatch.setattr(suffix_dedup, "equal_groups", bounded)
+    assert digest_with_null(dedup_bytes(docs, hot=100)) == want
+
+
+def digest_with_null(df):
+    last = (1 << 63) - 1
+    return sorted((last if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in df.collect())
+
+
+def test_messages_take_no_steps_of_their_own(spark, sf, monkeypatch):
+    """Their number is blocks times buckets: they are slices of one array, not packed one by one."""
+    from stagewise.llm import suffix_dedup
+
+    real = suffix_dedup.slices
+    data = np.arange(10, dtype=np.uint32)
+    got = real(data, np.array([0, 3, 3, 10]))
+    assert [np.frombuffer(x.as_py(), np.uint32).tolist() for x in got] == [[0, 1, 2], [], list(range(3, 10))]
+    assert got.buffers()[2].address == data.ctypes.data
+    raw, at = suffix_dedup.joined(suffix_dedup.pa.chunked_array([got[1:], got[:1]]))
+    assert raw.view(np.uint32).tolist() == [*range(3, 10), 0, 1, 2] and at.tolist() == [0, 0, 28, 40]
+    rows = [(r.text, r.doc_id, "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    blocks = lambda d, *_: (d.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(40)).cast("int").alias("block")), 40)
+    monkeypatch.setattr(suffix_dedup, "in_blocks", blocks)
+    assert digest(dedup_bytes(docs)) == brute(rows)
