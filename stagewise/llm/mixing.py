@@ -8,7 +8,8 @@ w(t) = target * (1 + tilt * (1 - 2t)), so a source with a tilt above zero comes
 target * (t + tilt * (t - t^2)), is inverted for the words that stand before an occurrence of a document in its source: that
 is its position in training. A source's documents occur in a fixed pseudo-random order, pass after pass, for as long as the
 words before an occurrence are fewer than the demand at t = 1; the last occurrence gives only the words still asked for.
-`mix` returns these occurrences, `taken` is the sum of their words, and `blend` writes them out range-sorted by position.
+`mix` returns these occurrences, `taken` is the sum of their words, and `blend` writes them out. Both are range-sorted by position, `blend`
+by that of every occurrence and `mix`, which has one row for each document, by that of the first; what is not taken comes last, by hash.
 
 Prefix sums run in three levels (256 slices of the order, 256 in each, then documents), so no task sees a whole source. The
 plan is carried on the row itself, so rows that agree in everything each keep their own share.
@@ -78,14 +79,23 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, facto
         return F.struct(F.least(F.lit(1.0), t).alias("position"), F.least(F.col("size"), demand - done).alias("words"))
 
     occurrences = F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), occurrence)
-    return rows.select("doc_id", "source", "size", "source_size", "target", occurrences.alias("occurrences"), *(["row"] if carry else []))
+    return rows.select("doc_id", "source", "size", "source_size", "target", occurrences.alias("occurrences"), F.xxhash64("key").alias("deal"), *(["row"] if carry else []))
+
+
+def _in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """rows range-sorted over all partitions, nulls last."""
+    by = [F.col(c).asc_nulls_last() for c in by]
+    return rows.repartitionByRange(*by).sortWithinPartitions(*by)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, cap: float = 2.0, weights=(3, 1, 2), tilts=(0.5, -0.5, 0.0)) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, positions (in training, 0 to 1, of each occurrence)."""
+    """doc_id, source, size, source_size, target, taken, positions (in training, 0 to 1, of each occurrence).
+
+    Documents come in the order of training by their first occurrence, those not taken last."""
     rows = _planned(docs, id_col, text_col, source_col, factor, cap, weights, tilts, carry=False)
     taken = F.aggregate("occurrences", F.lit(0).cast("long"), lambda n, x: n + x["words"])
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.col("occurrences.position").alias("positions"))
+    rows = rows.withColumns({"taken": taken, "positions": F.col("occurrences.position"), "first": F.get("occurrences.position", F.lit(0))}).drop("occurrences")
+    return _in_order(rows, "first", "deal").select("doc_id", "source", "size", "source_size", "target", "taken", "positions")
 
 
 def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", factor: float = 1.5, cap: float = 2.0, weights=(3, 1, 2), tilts=(0.5, -0.5, 0.0), position_col: str | None = None) -> DataFrame:
@@ -93,7 +103,7 @@ def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     position_col adds the position under that name."""
     rows = _planned(docs, id_col, text_col, source_col, factor, cap, weights, tilts, carry=True).select("row", "size", F.explode("occurrences").alias("at"))
-    rows = rows.select("row", "size", "at.position", "at.words").repartitionByRange("position").sortWithinPartitions("position")
+    rows = _in_order(rows.select("row", "size", "at.position", "at.words"), "position")
     text = F.col("row").getField(text_col)
     text = F.when(F.col("words") >= F.col("size"), text).otherwise(F.array_join(F.slice(words_of(text), F.lit(1), F.col("words").cast("int")), " "))
     out = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns]

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from stagewise.llm import mixing as M
 
@@ -112,3 +113,26 @@ def test_stored_order(spark, tmp_path):
     got = M.stored_order(spark.read.parquet(f"{tmp_path}/mixed"), "at").collect()
     assert [x.true for x in sorted(got, key=lambda x: x["at"])] == sorted(x.true for x in got)
     assert 0 <= min(x["at"] for x in got) and max(x["at"] for x in got) <= 1
+
+
+def test_query_is_in_the_order_of_training(spark, sf, tmp_path):
+    """The method ends with a range sort by position; documents that the mix leaves out come last."""
+    out = M.op8_mixing(spark, sf)
+    out.write.parquet(f"{tmp_path}/mixed")
+    stored = M.stored_order(spark.read.parquet(f"{tmp_path}/mixed"), "at").collect()
+    for got in (out.collect(), sorted(stored, key=lambda x: x["at"])):
+        at = [2.0 if x.first_position is None else x.first_position for x in got]
+        assert at == sorted(at) and len(set(at)) > 100
+        assert all((x.first_position is None) == (x.taken == 0) for x in got)
+
+
+def test_documents_left_out_are_dealt_evenly(spark):
+    """They have no position, and one partition must not take them all."""
+    df = spark.createDataFrame([("w " * 5, i, s) for i in range(4000) for s in "ab"] + [(None, i, "a") for i in range(4000)], "text string, doc_id long, source string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = M.mix(df).select("taken", F.spark_partition_id().alias("p")).groupBy("p").agg(F.sum((F.col("taken") == 0).cast("int")).alias("out"), F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(x.n for x in parts) == 12000 and sum(x.out for x in parts) >= 4000
+    assert max(x.n for x in parts) < 3 * 12000 / len(parts) and sum(x.out > 0 for x in parts) > 1
