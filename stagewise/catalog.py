@@ -68,6 +68,11 @@ CORE: dict[str, tuple[Callable[[Model], DataFrame], str]] = {
         "SELECT query_id AS target_id, list(target_id ORDER BY rn) AS precedents FROM relatives WHERE rn <= 8 GROUP BY query_id",
     ),
     "j12_retrieved_hits": (lambda m: m.relatives, "SELECT * FROM relatives"),
+    "j14_similarity_join": (
+        lambda m: similarity.similar_pairs(m.table("embeddings"), within="label"),
+        """SELECT q.vec_id AS query_id, t.vec_id AS target_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6) AS identity
+        FROM embeddings q JOIN embeddings t ON q.label = t.label AND q.vec_id <> t.vec_id WHERE list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])) >= 0.3::DOUBLE""",
+    ),
     "j14_similarity_join_all": (
         lambda m: similarity.similar_pairs(m.table("embeddings")),
         """SELECT q.vec_id AS query_id, t.vec_id AS target_id, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(t.embedding AS DOUBLE[])), 6) AS identity
