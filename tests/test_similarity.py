@@ -47,3 +47,8 @@ def test_small_tiles_and_batches(spark, monkeypatch):
     assert max(b.num_rows for b in got) <= 7
     pairs = [x for b in got for x in zip(b["query_id"].to_pylist(), b["target_id"].to_pylist(), strict=True)]
     assert sorted(pairs) == sorted([(ids[a], ids[b]) for a, b in want] + [(ids[b], ids[a]) for a, b in want])
+
+
+def test_query_links_across_labels(spark, sf):
+    label = {r.vec_id: r.label for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert any(label[r.query_id] != label[r.target_id] for r in catalog.QUERIES["j14_similarity_join"](spark, sf).collect())
