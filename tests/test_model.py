@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stagewise.operators import model as B
-from stagewise.operators import relatives
+from stagewise.operators import relatives, splits
 from stagewise.operators.labels import pairs
 from stagewise.operators.taxonomy import SUPERKINGDOMS, classify, lineage
 
@@ -92,3 +94,26 @@ def test_first_relatives(spark):
         fellows = sorted((r for r in rows if r[1] == g and r[0] != t), key=lambda r: (-(r[2] or 0), r[0]))[:5]
         want |= {(t, k + 1, r[0]) for k, r in enumerate(fellows)}
     assert {(r["query"], r.rn, r.t) for r in got} == want
+
+
+def test_gates_read_apart_give_the_same_models(spark):
+    rng = random.Random(8)
+    spec = B.Spec(("a",), ("c",), iterations=2, depth=2)
+    rows = [(k, g, float(rng.randrange(9)), rng.choice("xyz"), float(rng.random() < 0.4)) for k in range(80) for g in range(3)]
+    train = B.typed(spark.createDataFrame(rows, "id int, gate int, a double, c string, y double"), spec).coalesce(1).cache()
+    apart = B.ByGate(lambda g: train.where(f"gate = {g}"), range(3))
+    want, got = (sorted(map(tuple, B.score(B.fit_gates(t, spec), t).select("id", "gate", "p").collect())) for t in (train, apart))
+    assert want == got and len(got) == 240
+    more = apart.where("id < 40").withColumn("one", F.lit(1)).unionByName(apart.where("id >= 40").withColumn("one", F.lit(2)))
+    assert more.select("*").drop("one").exceptAll(train).count() == 0 and more.drop("one").columns == train.columns
+    assert B.fit_gates(train.where("id < 0"), spec) == {}
+
+
+def test_assign_follows_the_greedy_rule():
+    rng = random.Random(2)
+    for _ in range(20):
+        sizes = {k: rng.choice([1, 1, 2, 3, 7, 40]) for k in range(rng.randrange(1, 300))}
+        order = sorted(sizes.items(), key=lambda x: (-x[1], x[0]))
+        want = splits.assign_clusters(order)
+        got = splits.assign(np.array([n for _, n in order]))
+        assert [splits.NAMES[k] for k in got] == [want[c] for c, _ in order]
